@@ -68,8 +68,8 @@ def test_merge_adjacent_at_random(spark):
 
 
 def test_fifo_at_random(spark):
-    rng, rows = random.Random(2), [(k, n, rng.choice([0, 0, 1, 2]), None) for k in range(6) for n in range(40)]
-    rows = [(k, n, inc if n % 5 else 0, rng.randint(0, 3) if n % 5 == 0 else None) for k, n, inc, _ in rows]
+    rng = random.Random(2)
+    rows = [(k, n, rng.choice([0, 0, 1, 2]) if n % 5 else 0, rng.randint(0, 3) if n % 5 == 0 else None) for k in range(6) for n in range(40)]
     want = set()
     for k, n, _, allowed in rows:
         if allowed is not None:
