@@ -34,6 +34,8 @@ HELD_OUT = (5, 0)
 WORDS, GRAMS, SIZE, UNITS = 4096, 16384, 8, 8
 GRAM_SIZES = (3, 5)
 EPOCHS = 7
+#: Weight of the counts in the first vectors, spread of their other numbers, and the vectors' share of the learning rate.
+PRIOR, SPREAD, EMBED_RATE = 0.5, 0.3, 0.2
 #: Windows that one text lends to the training, evenly spread; scoring takes them all.
 TRAIN_WINDOWS = 100
 #: Bytes of text that a task encodes at once; a longer text goes alone.
@@ -245,6 +247,8 @@ def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, epoc
     cut, owner = table.windows(len(learn), TRAIN_WINDOWS)
     count = np.bincount(owner, minlength=len(learn))
     batch = max(32, min(batch, len(cut) * epochs // steps_least))  # a small sample still gives enough steps
+    if PRIOR:
+        _start_from_counts(net, table, truth)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     steps = 0
     for epoch in range(epochs):
@@ -282,12 +286,33 @@ def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, epoc
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[name] -= pace * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
+                net.p[name] -= pace * (EMBED_RATE if name in ("word", "gram") else 1) * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
     best = worst_windows(net, [t for t, a in zip(texts, aside, strict=True) if a])
     _calibrate(net, np.maximum(best, -20.0), y[aside].astype(float), share)
     return net
 
 
+def _start_from_counts(net: Network, table: Words, truth: np.ndarray) -> None:
+    """The first number of every word and n-gram vector starts as the smoothed log-odds of texts that hold it.
+
+    What few texts hold starts near 0, so that a small sample is not learned by heart.
+    """
+    toxic = truth == 1
+    held = np.unique(table.owner * len(table.word) + table.ids)
+    text, word = held // len(table.word), held % len(table.word)
+    starts, count = np.cumsum(table.grams) - table.grams, table.grams[word]
+    at = np.repeat(starts[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    pairs = np.unique(np.repeat(text, count) * GRAMS + table.gram[at])
+    for name, texts, bucket, size in (("word", text, table.word[word], WORDS), ("gram", pairs // GRAMS, pairs % GRAMS, GRAMS)):
+        if name == "word":
+            both = np.unique(texts * size + bucket)
+            texts, bucket = both // size, both % size
+        yes, no = np.bincount(bucket[toxic[texts]], minlength=size), np.bincount(bucket[~toxic[texts]], minlength=size)
+        odds = np.log((yes + 2) / (toxic.sum() + 4)) - np.log((no + 2) / ((~toxic).sum() + 4))
+        net.p[name][:, 0] = PRIOR * np.where(yes + no > 0, odds, 0)
+        net.p[name][:, 1:] *= SPREAD
+
+
 def _calibrate(net: Network, z: np.ndarray, y: np.ndarray, share: float | None) -> None:
     """Two parameters by damped Newton steps: the worst window's logit to the text's, at the share that toxic texts have."""
     a, b = 1.0, 0.0
