@@ -96,3 +96,17 @@ def slices(spans: DataFrame) -> DataFrame:
     packets = F.when(instant, F.array(F.struct(F.lit("instant").alias("kind"), F.col("start").alias("ts")))).otherwise(F.array(begin, end))
     rest = [c for c in spans.columns if c not in ("start", "end")]
     return spans.select(*rest, F.inline(packets))
+
+
+def drop_incomplete(ops: DataFrame, task: str, complete: Column, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """Ops that are complete or to be kept anyway, and the tasks that are left with none."""
+    marked = ops.withColumn("_ok", F.coalesce(complete, F.lit(False)) | F.coalesce(keep, F.lit(False)))
+    empty = marked.groupBy(task).agg(F.bool_or("_ok").alias("_any")).filter("not _any").select(task)
+    return marked.filter("_ok").drop("_ok"), empty
+
+
+def stretch_to_done(events: DataFrame, by: list[str], kind: str, ts: str, wait: str, done: str) -> DataFrame:
+    """by, start, end: a wait lasts until its own done; without one it has no length."""
+    start, end = F.min(F.when(F.col(kind) == wait, F.col(ts))), F.min(F.when(F.col(kind) == done, F.col(ts)))
+    grouped = events.filter(F.col(kind).isin(wait, done)).groupBy(*by).agg(start.alias("start"), end.alias("_done"))
+    return grouped.filter("start is not null").select(*by, "start", F.greatest("start", F.coalesce("_done", "start")).alias("end"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import documents, events, geometry
+from tidewright.plans import documents, events, geometry, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (documents, events, geometry):
+for part in (documents, events, geometry, tracks):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
