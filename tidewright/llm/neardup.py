@@ -6,13 +6,14 @@ under each (coordinate, value) pair. Postings that stand alone can't collide; a
 ones can't reach T collisions. Of the others it suffices to look at a prefix, the rarest K - T + 1 coordinates, lone ones included:
 two documents with T collisions share one of them. So common passages cost nothing unless they make up most of a text.
 
-Pairs come in two rounds. First every posting links its members to its smallest one; these pairs are verified on
-the full sets, which joins nearly all copies. Then the posting lists are merged again, skipping whatever is already
-joined: only lists that still hold several components are compared, in blocks of bounded size, pairs of different components
-only, and what has T collisions is verified too. So no list is expanded into all its pairs, and none is capped.
+Pairs come in two rounds. First every posting links its members to the most popular one, whose coordinates have the
+longest lists, as an original among its copies has; these pairs are verified on the full sets, which joins nearly all
+copies. Then the posting lists are merged again, skipping whatever is already joined: only lists that still hold several components are
+compared, in blocks of bounded size, pairs of different components only. Those pairs also have to agree in a longer sketch of
+S bytes, which only documents with a prefix get, and are verified too. So no list is expanded into all its pairs, and none is capped.
 
 With K = 64 and T = 36, a pair at similarity 0.8 falls below T with a chance of about one in a hundred thousand, and
-less the more similar it is; no other pair is lost.
+less the more similar it is. The sketch's bound is five standard deviations below the similarity; no other pair is lost.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing. Every row is a document
 of its own, also where a doc_id repeats; rows with a null doc_id count last. Other columns are ignored.
@@ -34,6 +35,8 @@ from tidewright.llm.shared import components, map_rows, materialise
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a signature, and collisions that make a candidate.
 COORDINATES, MATCHES = 64, 36
+#: Bytes of the longer sketch.
+SKETCH = 1024
 #: Members of a posting list that are compared at once; longer lists go in blocks, each pair of blocks a group.
 BLOCK = 512
 
@@ -70,12 +73,19 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """K coordinates of 32 bits: the least of the set under K hash functions, a few thousand shingles at a time."""
+    """K coordinates: the least of the set under K hash functions, a few thousand shingles at a time."""
     low = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048]
+    step = max(1, (1 << 17) // len(multipliers))
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step]
         low = np.minimum(low, ((part ^ (part >> np.uint64(32)))[:, None] * multipliers).min(0))
-    return (_mixed(low) >> np.uint64(32)).astype(np.int64)
+    return _mixed(low)
+
+
+def sketch_bound(percent: int) -> int:
+    """Equal bytes that two sketches of a pair at the similarity have at least, five standard deviations down."""
+    p = percent / 100
+    return int(SKETCH * p - 5 * np.sqrt(SKETCH * p * (1 - p)))
 
 
 def signatures(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
@@ -88,12 +98,12 @@ def signatures(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
             sets = [shingles(t, size) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [_digest(s) for s in sets],
-                "signature": [signature(s, multipliers).tolist() if len(s) else None for s in sets],
+                "signature": [(signature(s, multipliers) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(s) else None for s in sets],
             }
 
         return each
 
-    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, n_shingles bigint, digest binary, signature array<bigint>", start)
+    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, n_shingles bigint, digest binary, signature array<int>", start)
 
 
 def _digest(hashes: np.ndarray) -> bytes | None:
@@ -101,13 +111,19 @@ def _digest(hashes: np.ndarray) -> bytes | None:
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest of the set and the sorted set, for rows that are candidates."""
+    """doc_id, digest of the set, the sorted set and its sketch, for rows that are candidates."""
 
-    def each(cols: dict) -> dict:
-        sets = [shingles(t, size) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "digest": [_digest(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
+    def start():
+        multipliers = _constants(SKETCH, 4)
 
-    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, digest binary, hashes array<bigint>", lambda: each)
+        def each(cols: dict) -> dict:
+            sets = [shingles(t, size) for t in cols["text"]]
+            sketches = [(signature(s, multipliers) >> np.uint64(56)).astype(np.uint8).tobytes() for s in sets]
+            return {"doc_id": cols["doc_id"], "digest": [_digest(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "sketch": sketches}
+
+        return each
+
+    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, digest binary, hashes array<bigint>, sketch binary", start)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,21 +144,23 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
 
     # The prefix: lone coordinates are the rarest, then shared ones by the length of their lists.
     lists = posted.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"))
-    lists = lists.filter(F.size("lists") >= matches).select("rep", F.slice("lists", 1, F.size("lists") - matches + 1).alias("lists"))
-    prefix = lists.join(classes, "rep").select("rep", "doc", "digest", "n_shingles", "signature", F.col("lists.key").alias("keys"))
+    popular = F.aggregate("lists", F.lit(0).cast("bigint"), lambda n, x: n + x.n)
+    lists = lists.filter(F.size("lists") >= matches).select("rep", popular.alias("popular"), F.slice("lists", 1, F.size("lists") - matches + 1).alias("lists"))
+    prefix = lists.join(classes, "rep").select("rep", "doc", "digest", "n_shingles", "signature", "popular", F.col("lists.key").alias("keys"))
     prefix = materialise(prefix, "near-prefix")
     sets = shingle_sets(documents.join(prefix.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi"), size)
-    sets = materialise(sets.join(prefix.select("rep", F.col("doc").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "hashes"), "near-sets")
+    sets = materialise(sets.join(prefix.select("rep", F.col("doc").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "hashes", "sketch"), "near-sets")
 
-    # First round: every list's members to its smallest.
-    held = prefix.select("rep", F.explode("keys").alias("key"))
-    least = materialise(held.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a"), "near-least")
-    stars = held.join(least, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # First round: every list's members to its most popular.
+    held = prefix.select("rep", "popular", F.explode("keys").alias("key"))
+    centre = held.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("back"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    centre = materialise(centre.select("key", (-F.col("m.back")).alias("centre")), "near-centres")
+    stars = held.join(centre, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     near = materialise(_verified(_alike(materialise(stars, "near-pairs"), prefix, matches, percent), sets, percent), "near-links")
     joined = components(near)
 
     # Second round: lists that still hold several components, in blocks.
-    part = prefix.join(joined, prefix.rep == joined.node, "left").select("rep", "n_shingles", "signature", "keys", F.coalesce("component", "rep").alias("component"))
+    part = prefix.join(joined, prefix.rep == joined.node, "left").select("rep", "n_shingles", "keys", F.coalesce("component", "rep").alias("component"))
     part = materialise(part, "near-parts")
     several = part.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     several = materialise(several.filter("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "near-several")
@@ -150,8 +168,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     members = members.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
     spread = members.select("rep", "component", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("rep", "component", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    spread = spread.join(prefix.select("rep", "n_shingles", "signature"), "rep")
-    more = spread.groupBy("key", "i", "j").applyInArrow(_compare(matches, percent), "a bigint, b bigint").distinct()
+    spread = spread.join(part.select("rep", "n_shingles", "keys").join(sets.select("rep", "sketch"), "rep"), "rep")
+    more = spread.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint")
     late = materialise(_verified(materialise(more, "near-more"), sets, percent), "near-late")
     final = components(near.union(late))
 
@@ -173,22 +191,28 @@ def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> D
     return pairs.join(left, "a").join(right, "b").filter(sized & (hits >= matches)).select("a", "b")
 
 
-def _compare(matches: int, percent: int):
-    """Pairs of different components within a block (i = j) or between two blocks that have enough collisions."""
+def _compare(percent: int):
+    """Pairs of different components within a block (i = j) or between two blocks whose sketches allow the similarity."""
     import pyarrow as pa
 
+    bound = sketch_bound(percent)
+
     def run(table: pa.Table) -> pa.Table:
         rep, part, size = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         side = table.column("mine").to_numpy() == table.column("i").to_numpy()
-        sign = np.asarray(table.column("signature").combine_chunks().flatten()).reshape(len(rep), -1)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        keys, here = [set(k) for k in table.column("keys").to_pylist()], table.column("key")[0].as_py()
         left = np.flatnonzero(side)
         right = left if table.column("i")[0] == table.column("j")[0] else np.flatnonzero(~side)
         a, b = [], []
         for x in left:
             other = right[(part[right] != part[x]) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)]
-            found = other[(sign[other] == sign[x]).sum(1) >= matches]
-            a.append(np.minimum(rep[found], rep[x]))
-            b.append(np.maximum(rep[found], rep[x]))
+            if len(other):
+                found = other[(sketch[other] == sketch[x]).sum(1) >= bound]
+                # A pair that meets in several lists is told in the first of them only.
+                found = found[np.fromiter((min(keys[x] & keys[y]) == here for y in found), bool, len(found))]
+                a.append(np.minimum(rep[found], rep[x]))
+                b.append(np.maximum(rep[found], rep[x]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
