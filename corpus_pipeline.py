@@ -1,8 +1,8 @@
 """A corpus from documents to the mix: five operators, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the last returns the
-mix, one row per document taken. Stages join their verdict to the rows by doc_id, so rows that repeat a doc_id share its fate: a
-document goes if any of its rows is rejected.
+mix, one row per document taken. The filters judge each row where it stands; only near-duplicates join their verdict by
+doc_id, so there a document goes if any of the rows that repeat its id does.
 """
 
 from __future__ import annotations
@@ -16,30 +16,25 @@ from tidewright.llm.shared import materialise
 from tidewright.session import load
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """docs without the rejected ids; rows with a null doc_id stay."""
-    gone = materialise(rejected.select("doc_id").distinct(), name)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the toxicity network rejects."""
-    return _without(docs, toxicity.toxicity_scores(docs, load(spark, sf_dir, "labels")).filter("predicted = 1"), "toxic")
+    return toxicity.clean_documents(docs, load(spark, sf_dir, "labels"))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the quality rules reject."""
-    return _without(docs, quality.quality_scores(docs, load(spark, sf_dir, "labels")).filter("predicted = 0"), "poor")
+    return quality.good_documents(docs, load(spark, sf_dir, "labels"))
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    return _without(docs, neardup.near_duplicates(docs).filter("not kept"), "copies")
+    """One document of each group of near-duplicates, that with the smallest id; rows with a null id stay."""
+    copies = materialise(neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "copies")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the benchmark contaminates."""
-    return _without(docs, decontaminate.contamination(docs, load(spark, sf_dir, "benchmark")).filter("contaminated"), "contaminated")
+    return decontaminate.unseen_documents(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import map_rows
+from tidewright.llm.shared import append, map_rows, unused
 
 #: A phrase of the benchmark: so many words, or a whole shorter item.
 WINDOW = 13
@@ -207,6 +207,17 @@ def _scan(texts: list[str | None], phrases: Phrases) -> tuple[list[int], list[li
     return n_words, spans, [sorted(x) for x in items]
 
 
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
+    """The benchmark's phrases in blocks whose texts have about block_bytes at most; one, empty block where there are none."""
+    posed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).filter("item is not null and phrase is not null")
+    size = posed.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    blocks, out = -(-size // block_bytes) or 1, []
+    for k in range(blocks):
+        rows = posed.filter(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == k).distinct().collect()
+        out.append(Phrases(sorted((r.item, r.phrase) for r in rows), window))
+    return out
+
+
 def benchmark_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (words [start, end) inside any benchmark phrase, merged), items (ids, as sorted strings).
 
@@ -214,13 +225,8 @@ def benchmark_spans(documents: DataFrame, benchmark: DataFrame, window: int = WI
     blocks, one pass over the documents each, whose spans are then merged by document. Rows that repeat a doc_id keep
     to themselves, as the merge also goes by the text's digest.
     """
-    posed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).filter("item is not null and phrase is not null")
-    size = posed.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    passes = []
-    for k in range(blocks):
-        rows = posed.filter(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == k).distinct().collect()
-        passes.append(_pass(documents, Phrases(sorted((r.item, r.phrase) for r in rows), window)))
+    passes = [_pass(documents, phrases) for phrases in _blocks(benchmark, window, block_bytes)]
+    blocks = len(passes)
     if blocks == 1:
         return passes[0].drop("digest")
     every = passes[0]
@@ -237,33 +243,56 @@ def benchmark_spans(documents: DataFrame, benchmark: DataFrame, window: int = WI
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", joined.alias("spans"), "items")
 
 
+def _scanner(known: Phrases):
+    """A function of a batch's texts; the index covers as many texts as its bound allows."""
+
+    def each(texts: list[str | None]) -> dict:
+        out, begin = {"n_words": [], "spans": [], "items": []}, 0
+        while begin < len(texts):
+            end, room = begin, INDEX_WORDS
+            while end < len(texts) and (end == begin or len(texts[end] or "") // 2 <= room):
+                room -= len(texts[end] or "") // 2
+                end += 1
+            for name, part in zip(out, _scan(texts[begin:end], known), strict=True):
+                out[name] += part
+            begin = end
+        return out
+
+    return each
+
+
 def _pass(documents: DataFrame, phrases: Phrases) -> DataFrame:
     """One block's phrases against all documents."""
     held = documents.sparkSession.sparkContext.broadcast(phrases)
 
     def start():
-        known = held.value
-
-        def each(cols: dict) -> dict:
-            out = {"doc_id": cols["doc_id"], "n_words": [], "spans": [], "items": []}
-            texts = cols["text"]
-            digest = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if t is not None else None for t in texts]
-            begin = 0
-            while begin < len(texts):
-                end, room = begin, INDEX_WORDS
-                while end < len(texts) and (end == begin or len(texts[end] or "") // 2 <= room):
-                    room -= len(texts[end] or "") // 2
-                    end += 1
-                for name, part in zip(("n_words", "spans", "items"), _scan(texts[begin:end], known), strict=True):
-                    out[name] += part
-                begin = end
-            return out | {"digest": digest}
-
-        return each
+        scan = _scanner(held.value)
+        digest = lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        return lambda cols: scan(cols["text"]) | {"doc_id": cols["doc_id"], "digest": list(map(digest, cols["text"]))}
 
     return map_rows(documents, ["doc_id", "text"], SCHEMA + ", digest string", start)
 
 
+def unseen_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents that aren't contaminated, with all their columns. No row moves, also where the benchmark takes several passes."""
+    name = unused(documents, "_seen")
+    for phrases in _blocks(benchmark, window, block_bytes):
+        held = documents.sparkSession.sparkContext.broadcast(phrases)
+
+        def start(held=held):
+            scan = _scanner(held.value)
+            return lambda cols: {k: v for k, v in scan(cols["text"]).items() if k != "items"}
+
+        found = unused(documents, name)
+        documents = append(documents, found, ["text"], "n_words bigint, spans array<struct<start:bigint,end:bigint>>", start)
+    added = [c for c in documents.columns if c.startswith(name)]
+    spans = F.array_sort(F.concat(*[F.col(f"{c}.spans") for c in added]))
+    empty = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("to"))
+    covered = F.aggregate(spans, empty, lambda a, x: F.struct((a.hit + F.greatest(x.end - F.greatest(x.start, a.to), F.lit(0))).alias("hit"), F.greatest(a.to, x.end).alias("to")))
+    hit = covered.hit
+    return documents.filter(~((hit > 0) & (hit * 20 >= F.col(f"{added[0]}.n_words")))).drop(*added)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The verdict per document: words, words hit, items, and whether a twentieth of the words is hit."""
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x.end - x.start)

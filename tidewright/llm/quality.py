@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import map_rows
+from tidewright.llm.shared import append, map_rows, unused
 
 #: Labelled rows to learn from, at most; the rows with the smallest hashes are taken.
 SAMPLE_ROWS = 6_000
@@ -119,10 +119,11 @@ class Rule:
             out &= (x[:, k] > t) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, inside: str = "") -> Column:
         col = F.lit(True)
         for k, t, above in self.terms:
-            col = col & (F.col(STATS[k]) > t if above else F.col(STATS[k]) <= t)
+            stat = F.col(inside + STATS[k])
+            col = col & (stat > t if above else stat <= t)
         return col
 
 
@@ -138,11 +139,11 @@ class RuleModel:
             z += w * rule.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
-        """The whole model as one expression inside code generation."""
+    def column(self, inside: str = "") -> Column:
+        """The whole model as one expression inside code generation. inside: the struct that holds the statistics, with its dot."""
         z = F.lit(self.bias)
         for rule, w in zip(self.rules, self.weights, strict=True):
-            z = z + F.when(rule.column(), F.lit(w)).otherwise(F.lit(0.0))
+            z = z + F.when(rule.column(inside), F.lit(w)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
@@ -230,3 +231,15 @@ def quality_scores(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_R
     """doc_id, held_out, score, predicted for every document."""
     model = train(documents, labels, rows)
     return text_statistics(documents).select("doc_id", held_out().alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that score as good, with all their columns. No row moves."""
+    model, name = train(documents, labels, rows), unused(documents, "_stats")
+
+    def each(cols: dict) -> dict:
+        got = statistics_of(cols["text"])
+        return {s: got[:, k] for k, s in enumerate(STATS)}
+
+    seen = append(documents, name, ["text"], STAT_SCHEMA.replace("doc_id bigint, ", ""), lambda: each)
+    return seen.filter(model.column(f"{name}.") >= threshold).select(documents.columns)

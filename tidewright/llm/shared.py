@@ -54,6 +54,31 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[],
     return df.select(*columns).mapInArrow(run, out)
 
 
+def append(df: DataFrame, name: str, columns: list[str], schema: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
+    """df with one more column, a struct of what the function gives for the named columns (as in map_rows). Narrow: no row moves."""
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    out = T.StructType([*df.schema.fields, T.StructField(name, fields)])
+    kind = _arrow_type(fields)
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = start()
+        for batch in batches:
+            for part in _slices(batch):
+                got = each({c: part.column(k).to_pylist() for c, k in zip(columns, at, strict=True)})
+                more = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in kind], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*part.columns, more], names=[*part.schema.names, name])
+
+    return df.mapInArrow(run, out)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Pieces small enough that the Python objects of one piece stay far below a worker's memory."""
     for at in range(0, batch.num_rows, rows):

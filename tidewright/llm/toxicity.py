@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.quality import held_out, labelled_sample
-from tidewright.llm.shared import map_rows
+from tidewright.llm.shared import append, map_rows, unused
 
 #: Labelled rows to learn from, at most; the rows with the smallest hashes are taken.
 SAMPLE_ROWS = 3_000
@@ -366,3 +366,14 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
 
     scored = map_rows(documents, ["doc_id", "text"], "doc_id bigint, score double", start)
     return scored.select("doc_id", held_out("doc_id", HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean_documents(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that don't score as toxic, with all their columns. No row moves."""
+    held, name = documents.sparkSession.sparkContext.broadcast(train(documents, labels, rows)), unused(documents, "_toxic")
+
+    def start():
+        net = held.value
+        return lambda cols: {"score": scores(net, cols["text"])}
+
+    return append(documents, name, ["text"], "score double", start).filter(F.col(f"{name}.score") < threshold).select(documents.columns)
