@@ -62,6 +62,10 @@ def test_decontamination(spark, seed):
     spans = decontaminate.benchmark_spans(docs_of(spark, texts), bench, block_bytes=60)
     hits = {r.doc_id: sum(s.end - s.start for s in r.spans) for r in spans.collect()}
     assert hits == {k: x[1] for k, *x in want}
+    for size in (60, 1 << 20):
+        kept = decontaminate.unseen_documents(docs_of(spark, texts), bench, block_bytes=size)
+        assert kept.columns == docs_of(spark, texts).columns
+        assert sorted(r.doc_id for r in kept.collect()) == [k for k, *x in want if not x[4]]
 
 
 def test_decontamination_of_nothing(spark):
