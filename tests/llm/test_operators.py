@@ -380,7 +380,7 @@ def test_query(spark, name):
     from tests.test_queries import plain
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "conversations"):
+    for table in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     df, rel = queries.QUERIES[name](spark, FOLDER), con.sql(queries.SQL[name])
     cols = sorted(df.columns)

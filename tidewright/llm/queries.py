@@ -111,4 +111,20 @@ c as (select doc_id, count(distinct p) as n_hit from h, lateral (select unnest(r
 k as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h join g using (n, gram) group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated from d left join c using (doc_id) left join k using (doc_id)""",
+    "op4_near_duplicates": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') as g from d, lateral (select unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+f as (select x, y from e union select y, x from e),
+r(doc_id, far) as (select distinct x, x from f union select r.doc_id, f.y from r join f on f.x = r.far),
+m as (select doc_id, min(far) as low from r group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(low, doc_id) as component_id, coalesce(low, doc_id) = doc_id as kept from documents left join n using (doc_id) left join m using (doc_id)""",
+    "op7_near_vectors": r"""
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+f as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.93),
+r(vec_id, far) as (select distinct x, x from f union select r.vec_id, f.y from r join f on f.x = r.far),
+m as (select vec_id, min(far) as low from r group by vec_id), n as (select x as vec_id, count(*) as n from f group by x)
+select vec_id, coalesce(n, 0) as n_links, coalesce(low, vec_id) as component_id, coalesce(low, vec_id) = vec_id as kept from embeddings left join n using (vec_id) left join m using (vec_id)""",
 }
