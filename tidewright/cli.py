@@ -51,11 +51,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "dump":
         files.dump(parsed, a.out or "dump")
         return 0
-    shown = parsed.select("path", "kind", "fidelity", F.length("text").alias("chars"), "meta", "warnings", "error", *(["text"] if a.command == "extract" else []))
+    facts = ["path", "kind", "fidelity", F.length("text").alias("chars"), "meta", "warnings", "error", *(["text"] if a.command == "extract" else [])]
     failed = 0
-    for row in shown.orderBy("path").toJSON().toLocalIterator() if hasattr(shown, "toJSON") else ():
-        print(row)
-        failed += '"error":' in row
+    for row in parsed.select("path", "error", F.to_json(F.struct(*facts)).alias("json")).orderBy("path").toLocalIterator():
+        print(row.json)
+        failed += row.error is not None
     return int(failed > 0)
 
 
