@@ -53,6 +53,27 @@ class Words:
     word: np.ndarray
     gram: np.ndarray
     grams: np.ndarray
+    key: np.ndarray | None = None
+
+    @classmethod
+    def joined(cls, texts: list[str | None], room: int = 1 << 20) -> Words:
+        """As of(), piece by piece: what is held at once is the result and the arrays of one piece."""
+        parts, at, size = [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= room or k + 1 == len(texts):
+                part = cls.of(texts[at : k + 1])
+                part.owner = part.owner + at
+                parts.append(part)
+                at, size = k + 1, 0
+        if not parts:
+            return cls.of([])
+        key, first, same = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+        base = np.cumsum([0] + [len(p.key) for p in parts])
+        ids = np.concatenate([same[b + p.ids] for b, p in zip(base, parts, strict=False)])
+        table = cls(np.concatenate([p.owner for p in parts]), ids, *(np.concatenate([getattr(p, f) for p in parts]) for f in ("word", "gram", "grams"))).some(first)
+        table.key = key
+        return table
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Words:
@@ -90,7 +111,7 @@ class Words:
             grams.append((owns, (value * odd) >> np.uint64(64 - GRAMS.bit_length() + 1)))
         owns = np.concatenate([o for o, _ in grams])
         order = np.argsort(owns, kind="stable")
-        return cls(owner, ids.ravel(), word.astype(np.int64), np.concatenate([g for _, g in grams])[order].astype(np.int64), np.bincount(owns, minlength=len(wide)))
+        return cls(owner, ids.ravel(), word.astype(np.int64), np.concatenate([g for _, g in grams])[order].astype(np.int64), np.bincount(owns, minlength=len(wide)), key[first])
 
     def some(self, rows: np.ndarray) -> Words:
         """The table of these distinct words only."""
@@ -243,7 +264,7 @@ def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, epoc
         return net
     aside = np.arange(len(texts)) % 5 == 4
     learn, truth = [t for t, a in zip(texts, aside, strict=True) if not a], y[~aside]
-    table = Words.of(learn)
+    table = Words.joined(learn)
     cut, owner = table.windows(len(learn), TRAIN_WINDOWS)
     count = np.bincount(owner, minlength=len(learn))
     batch = max(32, min(batch, len(cut) * epochs // steps_least))  # a small sample still gives enough steps
@@ -297,17 +318,21 @@ def _start_from_counts(net: Network, table: Words, truth: np.ndarray) -> None:
 
     What few texts hold starts near 0, so that a small sample is not learned by heart.
     """
-    toxic = truth == 1
+    toxic, starts = truth == 1, np.cumsum(table.grams) - table.grams
     held = np.unique(table.owner * len(table.word) + table.ids)
-    text, word = held // len(table.word), held % len(table.word)
-    starts, count = np.cumsum(table.grams) - table.grams, table.grams[word]
-    at = np.repeat(starts[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    pairs = np.unique(np.repeat(text, count) * GRAMS + table.gram[at])
-    for name, texts, bucket, size in (("word", text, table.word[word], WORDS), ("gram", pairs // GRAMS, pairs % GRAMS, GRAMS)):
-        if name == "word":
-            both = np.unique(texts * size + bucket)
-            texts, bucket = both // size, both % size
-        yes, no = np.bincount(bucket[toxic[texts]], minlength=size), np.bincount(bucket[~toxic[texts]], minlength=size)
+    counts = {name: np.zeros((2, size), np.int64) for name, size in (("word", WORDS), ("gram", GRAMS))}
+    for part in np.array_split(np.arange(len(truth)), max(1, len(truth) // 100)):  # texts are counted apart, so any split gives the same
+        if not len(part):
+            continue
+        low, high = np.searchsorted(held, [part[0] * len(table.word), (part[-1] + 1) * len(table.word)])
+        text, word = held[low:high] // len(table.word), held[low:high] % len(table.word)
+        count = table.grams[word]
+        at = np.repeat(starts[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        for name, texts, bucket, size in (("word", text, table.word[word], WORDS), ("gram", np.repeat(text, count), table.gram[at], GRAMS)):
+            pairs = np.unique(texts * size + bucket)
+            for side in (0, 1):
+                counts[name][side] += np.bincount((pairs % size)[toxic[pairs // size] == side], minlength=size)
+    for name, (no, yes) in counts.items():
         odds = np.log((yes + 2) / (toxic.sum() + 4)) - np.log((no + 2) / ((~toxic).sum() + 4))
         net.p[name][:, 0] = PRIOR * np.where(yes + no > 0, odds, 0)
         net.p[name][:, 1:] *= SPREAD
