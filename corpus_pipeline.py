@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, mixing, neardup, quality, toxicity
-from tidewright.llm.shared import materialise
+from tidewright.llm.shared import ids_for_join, materialise
 from tidewright.session import load
 
 
@@ -29,7 +29,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; rows with a null id stay."""
     copies = materialise(neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids_for_join(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

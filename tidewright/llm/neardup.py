@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh3_64_intdigest
 
-from tidewright.llm.shared import components, map_rows, materialise
+from tidewright.llm.shared import components, ids_for_join, map_rows, materialise
 
 #: Words in a shingle and least similarity, in hundredths, as near-duplicate operators have them unless told otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -148,7 +148,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     lists = lists.filter(F.size("lists") >= matches).select("rep", popular.alias("popular"), F.slice("lists", 1, F.size("lists") - matches + 1).alias("lists"))
     prefix = lists.join(classes, "rep").select("rep", "doc", "digest", "n_shingles", "signature", "popular", F.col("lists.key").alias("keys"))
     prefix = materialise(prefix, "near-prefix")
-    sets = shingle_sets(documents.join(prefix.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi"), size)
+    # Texts stay where they are if the candidates' ids can be broadcast.
+    wanted = ids_for_join(materialise(prefix.select(F.col("doc").alias("near_doc")).distinct(), "near-wanted"))
+    sets = shingle_sets(documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("near_doc"), "left_semi"), size)
     sets = materialise(sets.join(prefix.select("rep", F.col("doc").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "hashes", "sketch"), "near-sets")
 
     # First round: every list's members to its most popular.

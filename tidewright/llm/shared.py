@@ -35,6 +35,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join may broadcast: 8 bytes each, so a few tens of MB at most in a task's memory.
+BROADCAST_IDS = 1_000_000
+
+
+def ids_for_join(ids: DataFrame) -> DataFrame:
+    """A written table of one id column, to be broadcast where its counted size allows; otherwise Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Arrow batches of the named columns through a function of column lists.
 
