@@ -7,8 +7,8 @@ reader decompresses member by member, frames each record by its header, and chec
 An archive is a byte string of bounded size, rolled over like a file. Archives are kept as rows of a table in the shared folder, so any store that Spark
 writes can hold them; save_archives() puts them as files into a mounted folder.
 
-A null payload is empty. Rows that repeat a page_id are records of their own; a null page_id is written as "null"
-and read back as null. Other columns are ignored.
+A null payload is empty. Rows that repeat a page_id are records of their own, all responses where it is the largest of their
+payload; a null page_id is written as "null", read back as null, and always a response. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,18 +111,18 @@ def parse(member: bytes) -> dict:
 
 
 def planned(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """pages with refers_to: of equal payloads of at least `least` bytes, all but one row refer to that with the largest page_id.
+    """pages with refers_to: of equal payloads of at least `least` bytes, those without the largest page_id refer to it.
 
-    Only ids and digests are grouped; the maxima combine before the shuffle and the join can split a hot payload.
+    Only digests and ids are grouped, and the maxima combine before the shuffle. What joins back to the pages is one row
+    per payload that occurs twice: where Spark finds it small the pages stay where they are, else the join can split a hot payload.
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    own = materialise(
-        pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("digest")), "warc-pages"
-    )
-    large = own.filter((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("row", "page_id", "digest", F.octet_length("payload").alias("size"))
-    last = materialise(large.groupBy("digest", "size").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count("*").alias("n")).filter("n > 1"), "warc-last")
-    refers = large.join(last, ["digest", "size"]).filter("row <> last.row").select("row", F.col("last.page_id").alias("refers_to"))
-    return own.join(refers, "row", "left").select("page_id", "url", "payload", "digest", "refers_to")
+    own = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("digest"))
+    large = F.octet_length("payload") >= least
+    last = own.filter(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
+    last = materialise(last.filter("first < last").select(F.col("digest").alias("twice"), "last"), "warc-last")
+    refers = F.when(large & (F.col("page_id") < F.col("last")), F.col("last"))
+    return own.join(last, own.digest == last.twice, "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
