@@ -118,6 +118,17 @@ def test_toxicity_on_held_out_labels():
     assert ((p >= 0.5) == y[held]).mean() > 0.95
 
 
+def test_quality_is_the_same_on_small_and_large_tables(spark):
+    """Both have 85 percent good rows without evidence either way; only the large one is cut, to as many of each label."""
+    score = {}
+    for n in (300, 3000):
+        labels = spark.createDataFrame([(k, int(k % 20 >= 3)) for k in range(n)], "doc_id bigint, quality int")
+        rows = quality.quality_scores(docs_of(spark, ["some words of text"] * n), labels, rows=600).collect()
+        score[n] = rows[0].score
+        assert all(r.predicted for r in rows)
+    assert abs(score[300] - score[3000]) < 0.03
+
+
 def test_rules_in_spark_score_as_in_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, len(quality.STATS)))

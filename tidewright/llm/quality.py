@@ -1,7 +1,7 @@
 """Quality classifier: a sparse ensemble of rules over text statistics.
 
 Statistics of every whole text come from one pass over its bytes and words. On a bounded sample of labelled rows
-small boosted trees are grown, every path of every tree becomes a conjunctive rule, a lasso logistic regression
+(weighted so that each label counts with its share of all labelled rows) small boosted trees are grown, every path of every tree becomes a conjunctive rule, a lasso logistic regression
 keeps the few rules that matter, and these are compiled into one Spark column expression over the statistics.
 
 Nulls, empty texts and texts without words have all statistics 0 and so a score like any other. Repeated rows are each answered, and a
@@ -94,12 +94,17 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     return map_rows(documents, ["doc_id", "text"], STAT_SCHEMA, lambda: each)
 
 
+def labelled_rows(labels: DataFrame, label: str, fold: tuple[int, int]) -> DataFrame:
+    """labelled, label of every row that may be learned from."""
+    return labels.select(F.col("doc_id").alias("labelled"), F.col(label).alias("label")).filter(F.col("labelled").isNotNull() & F.col("label").isin(0, 1) & ~held_out("labelled", fold))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], rows: int) -> DataFrame:
     """doc_id, text, label of at most `rows` labelled rows outside the held-out fold, half of each label where there are enough.
 
     The ids are taken by smallest hash, so the same labels give the same sample; with that bound they are broadcast.
     """
-    told = labels.select(F.col("doc_id").alias("labelled"), F.col(label).alias("label")).filter(F.col("labelled").isNotNull() & F.col("label").isin(0, 1) & ~held_out("labelled", fold))
+    told = labelled_rows(labels, label, fold)
     half = lambda k: told.filter(F.col("label") == k).orderBy(F.xxhash64("labelled"), "labelled").limit(rows // 2)
     return documents.select("doc_id", "text").join(F.broadcast(half(0).union(half(1))), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label")
 
@@ -179,28 +184,34 @@ def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.ndarr
     return rules, fitted
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, rounds: int = 600) -> RuleModel:
-    """Boosted trees, their paths as rules, then proximal gradient steps on the lasso logistic loss."""
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, rounds: int = 600, stands_for: np.ndarray | None = None) -> RuleModel:
+    """Boosted trees, their paths as rules, then proximal gradient steps on the lasso logistic loss.
+
+    stands_for: how many labelled rows each row of the sample stands for; without it all count alike.
+    """
     if not len(y):
         return RuleModel((), (), 0.0)
     if y.min() == y.max():
         return RuleModel((), (), 8.0 if y[0] else -8.0)
     rng = np.random.default_rng(0)
     cuts = [np.unique(np.quantile(col, np.linspace(0.005, 0.995, 128)))[:-1] for col in x.T]
-    z, rules = np.full(len(y), np.log(y.mean() / (1 - y.mean()))), {}
+    weight = np.ones(len(y)) if stands_for is None else stands_for / stands_for.mean()
+    share = (weight * y).mean()
+    z, rules = np.full(len(y), np.log(share / (1 - share))), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        found, step = _tree(x, y - p, p * (1 - p), cuts, depth, rng.permutation(x.shape[1])[: 2 * x.shape[1] // 3])
+        found, step = _tree(x, weight * (y - p), weight * p * (1 - p), cuts, depth, rng.permutation(x.shape[1])[: 2 * x.shape[1] // 3])
         rules |= dict.fromkeys(found)
         z += 0.3 * step
     rules = list(rules)
     a = np.column_stack([r.holds(x) for r in rules]).astype(np.float64) if rules else np.zeros((len(y), 0))
-    mean, spread = a.mean(0), a.std(0) + 1e-3
+    mean = weight @ a / len(y)
+    spread = np.sqrt(np.maximum(mean * (1 - mean), 0)) + 1e-3
     a = (a - mean) / spread
     w, b, v, vb = np.zeros(a.shape[1]), 0.0, np.zeros(a.shape[1]), 0.0
-    rate = 4 / (np.linalg.norm(a, 2) ** 2 / len(y) + 1)
+    rate = 4 / (np.linalg.norm(a * np.sqrt(weight)[:, None], 2) ** 2 / len(y) + 1)
     for k in range(rounds):
-        r = (1 / (1 + np.exp(-(a @ v + vb))) - y) / len(y)
+        r = weight * (1 / (1 + np.exp(-(a @ v + vb))) - y) / len(y)
         new, newb = v - rate * (a.T @ r), vb - rate * r.sum()
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         pace = k / (k + 3)
@@ -213,7 +224,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "quality") -> RuleModel:
     sample = labelled_sample(documents, labels, label, HELD_OUT, rows).repartition(12)
     got = sorted(_collect(sample))
-    return fit_rules(np.array([g[2:] for g in got]).reshape(len(got), len(STATS)), np.array([g[1] for g in got], float))
+    # The sample cuts each label on its own, so a row stands for its label's rows over those taken.
+    each = {k: n / min(n, rows // 2) for k, n in labelled_rows(labels, label, HELD_OUT).groupBy("label").count().collect()}
+    return fit_rules(np.array([g[2:] for g in got]).reshape(len(got), len(STATS)), np.array([g[1] for g in got], float), stands_for=np.array([each[g[1]] for g in got]))
 
 
 def _collect(sample: DataFrame) -> list[tuple]:
