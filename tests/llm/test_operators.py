@@ -273,6 +273,14 @@ def test_components_of_chains(spark):
     assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_shuffled_chains(spark):
+    ids = list(range(1000))
+    random.Random(8).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(2000 + a, 2000 + b) for a, b in zip(ids[:200], ids[1:200])]
+    got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | dict.fromkeys((2000 + k for k in ids[:200]), 2000 + min(ids[:200]))
+
+
 # 6
 
 

@@ -105,10 +105,12 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     }[kind.simpleString()]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable over undirected edges; only nodes with an edge appear.
 
-    Each round takes the smallest label of the neighbours and then the label of the label, so long chains halve.
+    Each round takes the smallest label of the neighbours, gives it to the node that the old label names as well, and then
+    takes the label of the label; so whole trees hook onto lower ones and long chains shrink in any order of their ids.
+    Labels only fall, and the rounds end when none does.
     The minima combine before the shuffle, and the labels are a written table, so Spark can split a node with
     very many edges in either join. Nothing but one count of changes comes to the driver.
     """
@@ -120,13 +122,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         "edges",
     )
     labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.src == labels.node).select(F.col("dst").alias("node"), "component")
         near = near.withColumn("old", F.lit(None).cast("bigint")).union(labels.withColumn("old", F.col("component")))
-        low = materialise(near.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")), "low")
+        low = near.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        hooked = F.struct(F.col("old").alias("node"), "component", F.lit(None).cast("bigint").alias("old"))
+        low = low.select(F.inline(F.array(F.struct("node", "component", "old"), hooked)))
+        low = materialise(low.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")), "low")
         of = low.select(F.col("node").alias("component"), F.col("component").alias("root"))
         step = materialise(low.join(of, "component").select("node", F.col("root").alias("component"), "old"), "labels")
         labels = step.select("node", "component")
         if step.filter("component <> old").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")
