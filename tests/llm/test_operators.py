@@ -326,6 +326,26 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("parts", "passes", "neighbours", "block"), [("200", 12, 384, 4096), ("200", 1, 40, 700), ("3", 2, 40, 700)])
+def test_near_vectors_beyond_the_window(spark, parts, passes, neighbours, block):
+    """Two labels of 2,000 near vectors each, several times the window, in few pieces and in more than the window holds."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal(64)
+    v = base + rng.standard_normal((4000, 64)) * 0.2
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, [float(c) for c in x], k % 2) for k, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.vec_id: r for r in embeddings.near_vectors(df, passes=passes, neighbours=neighbours, block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    for label in (0, 1):
+        want = (v[label::2] @ v[label::2].T >= 0.93).sum(1) - 1
+        assert want.min() > 384
+        assert [got[k].n_links for k in range(label, 4000, 2)] == want.tolist() and {got[k].component_id for k in range(label, 4000, 2)} == {label}
+
+
 # 8
 
 

@@ -3,7 +3,9 @@
 Equal vectors of a label form one class with a weight. In every pass a class gets a key, the concatenated bits of
 random projections in a fresh order, and all classes are sorted by label and key over the whole cluster. Near
 vectors share long beginnings of their keys, so they stand close; each is compared with the vectors of a bounded
-window before it, in double precision. The pairs that hold in any pass are united; recall is measured in the tests.
+window before it, in double precision, also where the sorted order is cut into tasks. The pairs that hold in any pass are
+united into components, and links are counted exactly among all vectors of a component, in pairs of blocks, so a group of near
+vectors may be of any size. A link between two components that no pass joins is missed; recall is measured in the tests.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null label link with nothing. Vectors
 of different lengths are not compared. Every row is a vector of its own, also where a vec_id repeats. Other columns are ignored.
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ COSINE = 0.93
 PASSES, BITS, NEIGHBOURS = 12, 48, 384
 #: Rows that a task compares with their windows at once.
 ROWS = 512
+#: Vectors of a component that are counted as one block; a task holds two.
+BLOCK = 4096
 
 _KEYED = "pass int, group string, key bigint, cls bigint, vector binary"
 
@@ -56,11 +61,45 @@ def _keyed(passes: int):
     return run
 
 
+_FOUND = "a bigint, b bigint, part int, head boolean, pass int, group string, cls bigint, vector binary"
+_FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("head", pa.bool_()), ("pass", pa.int32()), ("group", pa.string()), ("cls", pa.int64()), ("vector", pa.binary())])
+
+
+def _links(ids: np.ndarray, x: np.ndarray, old: int, cosine: float, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows from `old` on to rows before them, as many as connect what is near within the windows.
+
+    A link is left out if the row's first near one is near to the same partner, as these two are connected already.
+    """
+    near = x @ x.T >= cosine
+    place = np.arange(len(ids))
+    near &= (place < place[:, None]) & (place[:, None] - place <= neighbours)
+    new = near[old:]
+    row, col = np.nonzero(new & ~near[:, new.argmax(1)].T)
+    return ids[row + old], ids[col]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pair = {"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}
+    return pa.RecordBatch.from_arrays([pair.get(f.name, pa.nulls(len(a), f.type)) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
+
+
 def _windowed(cosine: float, neighbours: int):
-    """Pairs of a sorted partition; the last `neighbours` vectors are carried from piece to piece."""
+    """Links within a sorted partition; the last `neighbours` vectors are carried from piece to piece.
+
+    The begin of a partition's first run (head) and the end of its last go out as well, for the windows over the cuts.
+    """
+
+    def edge(head: bool, run_of: tuple, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        n, part = len(ids), TaskContext.get().partitionId()
+        row = {
+            "part": pa.array([part] * n, pa.int32()), "head": pa.array([head] * n), "pass": pa.array([run_of[0]] * n, pa.int32()), "group": pa.array([run_of[1]] * n, pa.string()),
+            "cls": pa.array(ids), "vector": pa.array([v.tobytes() for v in x], pa.binary()),
+        }
+        return pa.RecordBatch.from_arrays([row.get(f.name, pa.nulls(n, f.type)) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_of, ids, x = None, np.zeros(0, np.int64), None
+        first, headed = None, 0
         for batch in batches:
             for piece in _slices(batch, ROWS):
                 numbers, groups, cls, vectors = piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2).to_numpy(), piece.column(3).to_pylist()
@@ -73,21 +112,119 @@ def _windowed(cosine: float, neighbours: int):
                     new = np.frombuffer(b"".join(vectors[begin:end]), np.float64).reshape(end - begin, -1)
                     if marks[begin] != run_of:
                         run_of, ids, x = marks[begin], np.zeros(0, np.int64), np.zeros((0, new.shape[1]))
+                    first = first or run_of
+                    if run_of == first and headed < neighbours:
+                        yield edge(True, run_of, cls[begin:end][: neighbours - headed], new[: neighbours - headed])
+                        headed += end - begin
                     ids, x = np.concatenate([ids, cls[begin:end]]), np.concatenate([x, new])
-                    old = len(ids) - (end - begin)
-                    near = x[old:] @ x.T >= cosine
-                    row, col = np.nonzero(near)
-                    keep = (col < row + old) & (row + old - col <= neighbours)
-                    a, b = ids[row[keep] + old], ids[col[keep]]
+                    a, b = _links(ids, x, len(ids) - (end - begin), cosine, neighbours)
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        yield _pairs(a, b)
                     ids, x = ids[-neighbours:], x[-neighbours:]
                     begin = end
+        if run_of:
+            yield edge(False, run_of, ids, x)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _over_cuts(found: DataFrame, cosine: float, neighbours: int) -> DataFrame:
+    """Links of every partition's first rows to the rows of its run that stand in the partitions before it.
+
+    The driver sees one row per partition and side. A partition shorter than the window that holds a single run leads on to the one before.
+    """
+    spark = found.sparkSession
+    edges = found.filter("part is not null")
+    told = edges.groupBy("part", "head").agg(F.count("*").alias("n"), F.first(F.struct("pass", "group", F.octet_length("vector"))).alias("run"))
+    heads, tails = {}, {}
+    for r in told.collect():
+        (heads if r["head"] else tails)[r["part"]] = (r["n"], tuple(r["run"]))
+    order = sorted(heads)
+    needs = []
+    for k, part in enumerate(order):
+        run, left = heads[part][1], neighbours
+        while k and left > 0 and tails[order[k - 1]][1] == run:
+            k -= 1
+            needs.append((order[k], part))
+            left -= tails[order[k]][0]
+            if heads[order[k]][1] != run:
+                break
+    needs = spark.createDataFrame(needs, "source int, target int")
+    before = edges.filter("not head").join(F.broadcast(needs), F.col("part") == F.col("source")).select("target", "head", "cls", "vector")
+    after = edges.filter("head").join(F.broadcast(needs.select("target").distinct()), F.col("part") == F.col("target")).select("target", "head", "cls", "vector")
+
+    def compare(table: pa.Table) -> pa.Table:
+        # All pairs before the cut are compared elsewhere, so links may be left out here as within a partition.
+        head = table.column("head").to_numpy(zero_copy_only=False)
+        at = np.argsort(head, kind="stable")
+        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(at), -1)[at]
+        a, b = _links(table.column("cls").to_numpy()[at], x, int((~head).sum()), cosine, len(at))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return before.union(after).groupBy("target").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _counted(cosine: float):
+    """Near partners of every vector, with their weights, within a block (i = j) or between two blocks of a component; sorted by these."""
+
+    def near(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for at in range(0, len(x), ROWS):
+            hit = x[at : at + ROWS] @ y.T >= cosine
+            if same:
+                hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+            left[at : at + ROWS] = hit @ of_y
+            right += of_x[at : at + ROWS] @ hit
+        return left, right
+
+    def count(mine: np.ndarray, i: int, j: int, cls: np.ndarray, weight: np.ndarray, vectors: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(cls), -1)
+        if i == j:
+            return [(cls, near(x, x, weight, weight, True)[0])]
+        a = mine == i
+        left, right = near(x[a], x[~a], weight[a], weight[~a], False)
+        return [(cls[a], left), (cls[~a], right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, of = [], None
+
+        def closed() -> list[tuple[np.ndarray, np.ndarray]]:
+            if not kept:
+                return []
+            mine, cls, weight = (np.concatenate([k[c] for k in kept]) for c in range(3))
+            return count(mine, of[1], of[2], cls, weight, [v for k in kept for v in k[3]])
+
+        for batch in batches:
+            for piece in _slices(batch):
+                component, i, j, mine, cls, weight = (piece.column(c).to_numpy() for c in range(6))
+                vectors = piece.column(6).to_pylist()
+                cuts = np.flatnonzero((component[1:] != component[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+                out = []
+                for begin, end in zip([0, *cuts], [*cuts, len(cls)], strict=True):
+                    if (mark := (component[begin], i[begin], j[begin])) != of:
+                        out += closed()
+                        kept, of = [], mark
+                    kept.append((mine[begin:end], cls[begin:end], weight[begin:end], vectors[begin:end]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(2)], names=["cls", "others"])
+        for cls, others in closed():
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(others)], names=["cls", "others"])
+
+    return run
+
+
+def _link_counts(units: DataFrame, classes: DataFrame, joined: DataFrame, cosine: float, block: int) -> DataFrame:
+    """cls, others: the rows that are near to each class, by comparing all vectors of its component."""
+    sizes = joined.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    of = joined.join(sizes, "component").join(classes.select(F.col("cls").alias("node"), "weight"), "node")
+    of = of.select(F.col("node").alias("cls"), "component", "weight", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
+    members = of.join(units.select("cls", "vector"), "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "weight", "vector")
+    members = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return members.mapInArrow(_counted(cosine), "cls bigint, others bigint").groupBy("cls").agg(F.sum("others").alias("others"))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", "label", F.monotonically_increasing_id().alias("row"))
@@ -114,12 +251,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["pass", "group", F.octet_length("vector"), "key", "cls"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("pass", "group", "cls", "vector")
-    found = materialise(ranged.mapInArrow(_windowed(cosine, neighbours), "a bigint, b bigint").distinct(), "vector-links")
-
-    weights = classes.select("cls", "weight")
-    both = found.union(found.select("b", "a")).toDF("cls", "other")
-    links = both.join(weights.select(F.col("cls").alias("other"), "weight"), "other").groupBy("cls").agg(F.sum("weight").alias("others"))
-    joined = components(found)
+    found = materialise(ranged.mapInArrow(_windowed(cosine, neighbours), _FOUND), "vector-links")
+    joined = components(found.filter("a is not null").select("a", "b").union(_over_cuts(found, cosine, neighbours)))
+    links = _link_counts(units, classes, joined, cosine, block)
     named = classes.join(joined, classes.cls == joined.node, "left").select("cls", "group", "digest", "first_id", "weight", F.coalesce("component", "cls").alias("component"))
     named = materialise(named.join(links, "cls", "left"), "vector-named")
     first = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "vector-first")
