@@ -60,7 +60,7 @@ def _page_text() -> Column:
     """Every document as a Markdown page, with a heading to find."""
     meta = {"lang": F.col("lang"), "source": F.col("source"), "chars": F.col("n_chars")}
     warned = F.when(F.col("n_chars") > 5000, F.array(F.lit("long text"))).otherwise(F.array().cast("array<string>"))
-    return tx.rendered(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), meta, warned, F.col("text"), 1000)
+    return tx.rendered(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), meta, warned, F.col("text"))
 
 
 def doc_render(spark: SparkSession, d: str) -> DataFrame:
