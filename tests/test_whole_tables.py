@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
-from tidewright.plans import documents
+from tidewright.plans import documents, geometry
 
 
 def test_outline_and_page_of_long_text(spark, tmp_path):
@@ -14,3 +14,11 @@ def test_outline_and_page_of_long_text(spark, tmp_path):
     assert text in documents.doc_render(spark, str(tmp_path)).first().page
     cut = docs.select(tx.rendered(F.lit("t"), {}, F.array().cast("array<string>"), F.col("text"), 1000).alias("page")).first().page
     assert "Late. Heading" not in cut and "a" * 1000 in cut and cut.endswith("\n[... 2014 more characters]")
+
+
+def test_geometry_of_every_part(spark, tmp_path):
+    spark.range(1, 1001).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    d = str(tmp_path)
+    assert geometry._triangles(spark, d).count() == 1000
+    for query in (geometry.triangle_bounds, geometry.tile_bins, geometry.tile_owners):
+        assert query(spark, d).agg(F.max("tri")).first()[0] > 900

@@ -22,7 +22,7 @@ def _triangles(spark: SparkSession, d: str) -> DataFrame:
     at = lambda m, k: ((F.col("p_partkey") * m + k) % 1024 / F.lit(1024.0)).alias("v")
     x, y = at(37, 5), at(91, 11)
     side = lambda m: (F.col("p_partkey") * m % 61 - 30) / F.lit(1024.0)
-    return load(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("tri"), x.alias("x0"), y.alias("y0"), (x + side(7)).alias("x1"), (y + side(13)).alias("y1"), (x + side(17)).alias("x2"), (y + side(29)).alias("y2"))
+    return load(spark, d, "part").select(F.col("p_partkey").alias("tri"), x.alias("x0"), y.alias("y0"), (x + side(7)).alias("x1"), (y + side(13)).alias("y1"), (x + side(17)).alias("x2"), (y + side(29)).alias("y2"))
 
 
 def block_dedup(spark: SparkSession, d: str) -> DataFrame:
