@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as tx
-from tidewright.plans import documents, geometry
+from tidewright.plans import documents, events, geometry
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_outline_and_page_of_long_text(spark, tmp_path):
@@ -22,3 +24,8 @@ def test_geometry_of_every_part(spark, tmp_path):
     assert geometry._triangles(spark, d).count() == 1000
     for query in (geometry.triangle_bounds, geometry.tile_bins, geometry.tile_owners):
         assert query(spark, d).agg(F.max("tri")).first()[0] > 900
+
+
+def test_constant_drop_keeps_every_series_that_varies(spark):
+    changed = events.series.changes(events._points(spark, FOLDER), events.ORDER).groupBy("series").count().filter("count > 1")
+    assert {r.series for r in events.series_constant_drop(spark, FOLDER).collect()} == {r.series for r in changed.collect()}

@@ -58,7 +58,7 @@ def series_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series_constant_drop(spark: SparkSession, d: str) -> DataFrame:
-    return series.varying(series.changes(_points(spark, d).filter("series % 7 = 0"), ORDER))
+    return series.varying(series.changes(_points(spark, d), ORDER))
 
 
 def first_last(spark: SparkSession, d: str) -> DataFrame:
