@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,13 +16,15 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where none is set (tests on one machine) a temporary folder is made and set.
+    Only where none is set and all runs on one machine (tests) a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewright-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -32,7 +35,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; results that read from it have to be written before."""
+    _delete(spark, f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}")
 
 
 #: Ids that a join may broadcast: 8 bytes each, so a few tens of MB at most in a task's memory.
@@ -45,7 +66,7 @@ def ids_for_join(ids: DataFrame) -> DataFrame:
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
-    """Arrow batches of the named columns through a function of column lists.
+    """Pieces of Arrow batches of the named columns through a function of column lists.
 
     start() runs once per task and gives the function, so that caches and tables live as long as the task.
     The function takes {column: list} and returns {column: list or array} in the order of schema.
@@ -63,8 +84,11 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, start: Callable[[],
     return df.select(*columns).mapInArrow(run, out)
 
 
-def append(df: DataFrame, name: str, columns: list[str], schema: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
-    """df with one more column, a struct of what the function gives for the named columns (as in map_rows). Narrow: no row moves."""
+def append(df: DataFrame, name: str, columns: list[str], schema: str, start: Callable[[], Callable[[dict], dict]], room: int = 0) -> DataFrame:
+    """df with one more column, a struct of what the function gives for the named columns (as in map_rows). Narrow: no row moves.
+
+    room: pieces are put together until they hold so many bytes, for functions that do better on more rows at once.
+    """
     fields = df.sparkSession.createDataFrame([], schema).schema
     out = T.StructType([*df.schema.fields, T.StructField(name, fields)])
     kind = _arrow_type(fields)
@@ -72,11 +96,10 @@ def append(df: DataFrame, name: str, columns: list[str], schema: str, start: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
-        for batch in batches:
-            for part in _slices(batch):
-                got = each({c: part.column(k).to_pylist() for c, k in zip(columns, at, strict=True)})
-                more = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in kind], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*part.columns, more], names=[*part.schema.names, name])
+        for part in gathered((p for batch in batches for p in _slices(batch)), room):
+            got = each({c: part.column(k).to_pylist() for c, k in zip(columns, at, strict=True)})
+            more = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in kind], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*part.columns, more], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, out)
 
@@ -94,6 +117,19 @@ def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, rows)
 
 
+def gathered(pieces: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
+    """Pieces put together until they hold `room` bytes."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += piece.nbytes
+        if size >= room:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))
@@ -122,15 +158,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         "edges",
     )
     labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")), "labels")
+    held = labels
     while True:
         near = both.join(labels, both.src == labels.node).select(F.col("dst").alias("node"), "component")
         near = near.withColumn("old", F.lit(None).cast("bigint")).union(labels.withColumn("old", F.col("component")))
         low = near.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         hooked = F.struct(F.col("old").alias("node"), "component", F.lit(None).cast("bigint").alias("old"))
         low = low.select(F.inline(F.array(F.struct("node", "component", "old"), hooked)))
-        low = materialise(low.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")), "low")
-        of = low.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        step = materialise(low.join(of, "component").select("node", F.col("root").alias("component"), "old"), "labels")
-        labels = step.select("node", "component")
+        raised = materialise(low.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")), "low")
+        of = raised.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        step = materialise(raised.join(of, "component").select("node", F.col("root").alias("component"), "old"), "labels")
+        forget(raised, held)
+        labels, held = step.select("node", "component"), step
         if step.filter("component <> old").limit(1).count() == 0:
+            forget(both)
             return labels
