@@ -7,10 +7,13 @@ longest beginning of that order that keeps within the total budget.
 
 Running sums are taken in two levels, so no source and no tie is sorted in one task: within a source, the shuffle's
 hash is cut into slices of bounded size whose sums are added up first; in the global order, virtual time is cut
-into ranges, which hold about equally many words each, as time runs evenly for every source.
+into ranges, which hold about equally many words each, as time runs evenly for every source until time 1. Time after it, which the budget
+still reaches where large documents were left out, is folded into as many ranges again.
 
 Null texts and texts without words have size 0 and are never taken. A null source is a source of its own, the last. Repeated rows are documents of
-their own. A source without words has target 0. Other columns are ignored.
+their own. The shuffled order goes by doc_id and text, so rows that share an id or have none are spread; only rows equal in both
+stand together. A source without words has target 0. An empty table gives no rows. Sizes come from one regular expression in the JVM,
+so texts may be long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Documents in a slice of a source's shuffled order, about.
 SLICE = 1_000
-#: Ranges of virtual time, at most; they are added up in one task.
+#: Ranges of virtual time until 1, at most; twice as many are added up in one task.
 RANGES = 50_000
 #: Sources whose table of a row each is broadcast; with more, Spark chooses the join.
 BROADCAST_SOURCES = 10_000
@@ -62,17 +65,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "rows", "source_size", F.coalesce(F.least("full", F.col("level") * F.col("weight")), "full").alias("target"))
 
 
-def shuffled(key: Column) -> Column:
-    """A place in [0, 2^52) by the key's digest, the same in every run and engine."""
-    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 13), 16, 10).cast("bigint")
+def shuffled(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A place in [0, 2^52) by the digest of id and text, the same in every run and engine."""
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint")
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, slice_rows: int = SLICE) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words of each document that the mix takes, repeats counted."""
-    place = shuffled(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    held = materialise(documents.select("doc_id", "source", words().alias("size"), place.alias("place"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
+    held = materialise(documents.select("doc_id", "source", words().alias("size"), shuffled().alias("place"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     targets = materialise(source_targets(held, weights, share, most).withColumn("key", _key()), "mix-targets")
-    known = targets.agg(F.count("*").alias("sources"), F.sum("rows").alias("rows"), F.sum("target").alias("budget")).first()
+    known = targets.agg(F.count("*").alias("sources"), F.sum("rows").alias("rows"), F.sum("source_size").alias("words")).first()
     ranges = min(RANGES, -(-(known.rows or 1) // slice_rows))
     per_source = targets.select("key", "rows", "source_size", "target")
     if known.sources <= BROADCAST_SOURCES:
@@ -88,14 +91,15 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sent = held.withColumn("within", F.sum("size").over(inner)).join(before, ["key", "slice"])
     sent = materialise(sent.withColumn("sent", F.col("before") + F.col("within")).drop("before", "within", "slice", "rows", "key"), "mix-sent")
 
-    # All uses of all documents by finish time. No use after time 1 is taken but for rounding: the budget is what the sources send by then.
+    # All uses of all documents by finish time. At time 1 the sources have sent at most the budget.
     finish = F.array(*[(F.col("sent") + F.col("source_size") * k) / F.col("target") for k in range(most)])
-    uses = sent.filter("size > 0").select("row", "place", "size", F.explode(finish).alias("finish")).filter("finish < 1.5")
-    uses = uses.withColumn("range", F.floor(F.col("finish") * ranges))
+    uses = sent.filter("size > 0").select("row", "place", "size", F.explode(finish).alias("finish"))
+    time = F.col("finish")
+    uses = uses.withColumn("range", F.floor(F.when(time <= 1, time).otherwise(2 - 1 / time) * ranges))
     up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     running = uses.groupBy("range").agg(F.sum("size").alias("own")).select("range", "own", F.sum("own").over(up_to).alias("to"))
     # Earlier ranges than the one that the budget cuts are taken whole, later ones not at all.
-    budget = known.budget or 0.0
+    budget = (known.words or 0) * float(min(share, most))
     cut = running.filter(F.col("to") > budget).agg(F.min(F.struct("range", (F.col("to") - F.col("own")).alias("start"))).alias("cut")).first().cut
     taken = uses.select("row", "size")
     if cut is not None:
