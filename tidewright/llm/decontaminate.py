@@ -1,36 +1,43 @@
 """Benchmark decontamination by one FM-index per training shard.
 
-A task is a shard. Its documents become a sequence over the words that occur in benchmark phrases; every other word
-separates, as no phrase can run across it, and a stretch between separators that is shorter than the shortest phrase
-is left out, as it can hold none. Over that sequence the shard builds a suffix array, its Burrows-Wheeler transform
-as a wavelet tree, and a sample of suffix positions. All phrases are searched backwards together, their occurrences
-are located by walking to the nearest sampled position, and the covered words merge into removal spans.
-
-Nulls and texts without words have no hits and zero words. Repeated rows are each answered. Benchmark rows with a
-null item_id or without words pose no phrase; an item_id that comes with several texts poses the phrases of all.
-An empty benchmark leaves every document clean. Other columns of either table are ignored.
+A shard is a stretch of a task's rows with up to SHARD_BYTES of data. Its documents become a sequence over the words that occur in
+benchmark phrases; every other word separates, as no phrase can run across it, and a stretch between separators that is
+shorter than the shortest phrase is left out, as it can hold none. Over that sequence the shard builds a suffix array, its
+Burrows-Wheeler transform as a wavelet tree, and a sample of suffix positions. All phrases are searched backwards together, their
+occurrences are located by walking to the nearest sampled position, and the covered words merge into removal spans. A shard of more
+than INDEX_WORDS words is indexed in pieces that overlap by a phrase less a word, so a text of any length takes bounded memory.
+
+Nulls and texts without words have no hits and zero words. Repeated rows are each answered. Benchmark rows without words
+pose no phrase; one with a null item_id poses its phrases, whose words are hit, but has no id to tell; an item_id that comes with several
+texts poses the phrases of all. An empty benchmark leaves every document clean, an empty table of documents gives no rows. Other columns
+of either table are ignored, or kept by unseen_documents().
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import append, map_rows, unused
+from tidewright.llm.shared import append, forget, materialise, unused
 
 #: A phrase of the benchmark: so many words, or a whole shorter item.
 WINDOW = 13
-#: Benchmark text that one pass may broadcast; a larger benchmark goes in several passes.
-BLOCK_BYTES = 16 << 20
-#: Words of a shard's sequence in one index; a task with more builds several, one after the other.
-INDEX_WORDS = 4_000_000
+#: Phrases that one pass may broadcast (56 bytes each, and as many words at most); a larger benchmark goes in several passes.
+PHRASES = 500_000
+#: Bytes of a shard's rows, and words in one index.
+SHARD_BYTES, INDEX_WORDS = 16 << 20, 2_000_000
 #: Every so-many-th text position keeps its place in the suffix sample.
 SAMPLE = 16
 
-SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+#: Hits of a benchmark of several passes that are broadcast: spans and items together.
+BROADCAST_HITS = 200_000
+# The words of words() as a pattern for the JVM.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -148,154 +155,175 @@ class FMIndex:
 
 
 class Phrases:
-    """The benchmark's phrases over their own vocabulary, and the items each stands in."""
+    """The benchmark's distinct phrases over their own vocabulary, and the items each stands in; arrays, as every task holds them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.window, numbers = window, {}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.keys = list(found)
-        self.items = [sorted(found[k]) for k in self.keys]
-        self.lengths = np.array([len(k) for k in self.keys], np.int64)
-        self.rows = np.zeros((len(self.keys), window), np.int64)
-        for row, key in zip(self.rows, self.keys, strict=True):
-            row[window - len(key) :] = key
-        self.shortest = int(self.lengths.min()) if self.keys else 0
-
-
-def _scan(texts: list[str | None], phrases: Phrases) -> tuple[list[int], list[list[dict]], list[list[str]]]:
-    """Word count, merged spans and items of each text, by one index over all of them."""
-    get, n_words, parts = phrases.vocabulary.get, [], []
-    for text in texts:
-        split = words(text)
-        n_words.append(len(split))
-        parts.append(np.fromiter((get(w, 0) for w in split), np.int32, len(split)))
-        parts.append(np.zeros(1, np.int32))
-    spans: list[list[dict]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    whole = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    del parts
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            if len(ids):
+                ids = np.concatenate([np.zeros(max(0, window - len(ids)), np.int32), ids])
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+                owners.append(np.full(len(rows[-1]), -1 if item is None else numbers.setdefault(item, len(numbers)), np.int32))
+        self.names = list(numbers)
+        self.rows, phrase = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.rows != 0).sum(1)
+        # Items by phrase: those of phrase k stand at at[k]:at[k + 1].
+        pairs = np.unique(np.stack([phrase.ravel(), np.concatenate(owners)], 1), axis=0)
+        pairs = pairs[pairs[:, 1] >= 0]
+        self.items, self.at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.shortest = int(self.lengths.min()) if len(self.rows) else 0
+
+
+def _hits(pieces: list[tuple[int, int, np.ndarray]], phrases: Phrases) -> np.ndarray:
+    """Document, first word and phrase of every occurrence, by one index over pieces (document, its first word, symbols)."""
+    whole = np.concatenate([x for _, _, piece in pieces for x in (piece, np.zeros(1, np.int32))])
     inside = np.concatenate([[0], (whole != 0).view(np.int8), [0]])
     starts, ends = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
     long = ends - starts >= max(1, phrases.shortest)
     starts, ends = starts[long], ends[long]
-    if len(starts) and phrases.keys:
-        sizes = ends - starts + 1  # with the zero that ends it
-        at = np.cumsum(sizes) - sizes
-        text = whole[np.repeat(starts - at, sizes) + np.arange(sizes.sum())]
-        text[at + sizes - 1] = 0
-        index = FMIndex(text, len(phrases.vocabulary) + 1)
-        low, high = index.find(phrases.rows, phrases.lengths)
-        which = np.repeat(np.arange(len(low)), high - low)
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange(len(which))
-        place = index.locate(rows)
-        segment = np.searchsorted(at, place, side="right") - 1
-        place = place - at[segment] + starts[segment]
-        first = np.cumsum(np.array(n_words) + 1) - np.array(n_words) - 1
-        doc = np.searchsorted(first, place, side="right") - 1
-        for d, k in set(zip(doc.tolist(), which.tolist(), strict=True)):
-            items[d].update(phrases.items[k])
-        order = np.lexsort((place, doc))
-        for d, begin, size in zip(doc[order].tolist(), (place - first[doc])[order].tolist(), phrases.lengths[which[order]].tolist(), strict=True):
-            if spans[d] and begin <= spans[d][-1]["end"]:
-                spans[d][-1]["end"] = max(spans[d][-1]["end"], begin + size)
-            else:
-                spans[d].append({"start": begin, "end": begin + size})
-    return n_words, spans, [sorted(x) for x in items]
-
-
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
-    """The benchmark's phrases in blocks whose texts have about block_bytes at most; one, empty block where there are none."""
-    posed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).filter("item is not null and phrase is not null")
-    size = posed.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    blocks, out = -(-size // block_bytes) or 1, []
+    if not len(starts):
+        return np.zeros((0, 3), np.int64)
+    sizes = ends - starts + 1  # with the zero that ends it
+    at = np.cumsum(sizes) - sizes
+    text = whole[np.repeat(starts - at, sizes) + np.arange(sizes.sum())]
+    text[at + sizes - 1] = 0
+    index = FMIndex(text, len(phrases.vocabulary) + 1)
+    low, high = index.find(phrases.rows, phrases.lengths)
+    which = np.repeat(np.arange(len(low)), high - low)
+    place = index.locate(np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange(len(which)))
+    segment = np.searchsorted(at, place, side="right") - 1
+    place = place - at[segment] + starts[segment]
+    lengths = np.array([len(piece) + 1 for _, _, piece in pieces])
+    first = np.cumsum(lengths) - lengths
+    piece = np.searchsorted(first, place, side="right") - 1
+    doc, offset = (np.array([p[c] for p in pieces], np.int64) for c in (0, 1))
+    return np.stack([doc[piece], place - first[piece] + offset[piece], which], 1)
+
+
+def scan(texts: list[str | None], phrases: Phrases) -> dict:
+    """Word count, merged spans and sorted items of each text."""
+    get, n_words, pieces, found, room = phrases.vocabulary.get, [], [], [], INDEX_WORDS
+    for k, text in enumerate(texts):
+        split = words(text)
+        n_words.append(len(split))
+        symbols = np.fromiter((get(w, 0) for w in split), np.int32, len(split))
+        for at in range(0, len(symbols) if len(phrases.rows) else 0, INDEX_WORDS):
+            pieces.append((k, at, symbols[at : at + INDEX_WORDS + phrases.window - 1]))
+            room -= len(pieces[-1][2])
+            if room <= 0:
+                found.append(_hits(pieces, phrases))
+                pieces, room = [], INDEX_WORDS
+    if pieces:
+        found.append(_hits(pieces, phrases))
+    hits = np.concatenate([np.zeros((0, 3), np.int64), *found])
+    spans: list[list[dict]] = [[] for _ in texts]
+    items: list[list[str]] = [[] for _ in texts]
+    hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+    for doc, begin, size in zip(hits[:, 0].tolist(), hits[:, 1].tolist(), phrases.lengths[hits[:, 2]].tolist(), strict=True):
+        _cover(spans[doc], begin, begin + size)
+    once = np.unique(hits[:, ::2], axis=0)
+    count = phrases.at[once[:, 1] + 1] - phrases.at[once[:, 1]]
+    item = phrases.items[np.repeat(phrases.at[once[:, 1]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    for doc, number in np.unique(np.stack([np.repeat(once[:, 0], count), item], 1), axis=0).tolist():
+        items[doc].append(phrases.names[number])
+    return {"n_words": n_words, "spans": spans, "items": [sorted(x) for x in items]}
+
+
+def _cover(spans: list[dict], start: int, end: int) -> None:
+    """Add a span that doesn't start before the last one."""
+    if spans and start <= spans[-1]["end"]:
+        spans[-1]["end"] = max(spans[-1]["end"], end)
+    else:
+        spans.append({"start": start, "end": end})
+
+
+def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Phrases]:
+    """The benchmark's phrases in blocks of about `most` at most, built one at a time; a single, empty block where there are none."""
+    posed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).filter("phrase is not null")
+    size = posed.agg(F.sum(F.greatest(F.regexp_count("phrase", F.lit(_WORD)) - (window - 1), F.lit(1)))).first()[0] or 0
+    blocks = -(-size // most) or 1
     for k in range(blocks):
         rows = posed.filter(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == k).distinct().collect()
-        out.append(Phrases(sorted((r.item, r.phrase) for r in rows), window))
-    return out
+        yield Phrases(sorted(((r.item, r.phrase) for r in rows), key=lambda x: (x[0] is None, x)), window)
 
 
-def benchmark_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (words [start, end) inside any benchmark phrase, merged), items (ids, as sorted strings).
+def _pass(documents: DataFrame, name: str, phrases: Phrases) -> tuple[DataFrame, Broadcast]:
+    """documents with a column of FOUND by one block's phrases. No row moves."""
+    held = documents.sparkSession.sparkContext.broadcast(phrases)
 
-    The benchmark's size is checked: up to block_bytes of text go to every task at once, a larger benchmark goes in
-    blocks, one pass over the documents each, whose spans are then merged by document. Rows that repeat a doc_id keep
-    to themselves, as the merge also goes by the text's digest.
-    """
-    passes = [_pass(documents, phrases) for phrases in _blocks(benchmark, window, block_bytes)]
-    blocks = len(passes)
-    if blocks == 1:
-        return passes[0].drop("digest")
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.union(one)
-    merged = every.groupBy("doc_id", "n_words", "digest").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("copies")
-    )
-    joined = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (x.start <= F.element_at(done, -1).end), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1).start.alias("start"), F.greatest(F.element_at(done, -1).end, x.end).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", joined.alias("spans"), "items")
+    def start():
+        known = held.value
+        return lambda cols: scan(cols["text"], known)
 
+    return append(documents, name, ["text"], FOUND, start, SHARD_BYTES), held
 
-def _scanner(known: Phrases):
-    """A function of a batch's texts; the index covers as many texts as its bound allows."""
 
-    def each(texts: list[str | None]) -> dict:
-        out, begin = {"n_words": [], "spans": [], "items": []}, 0
-        while begin < len(texts):
-            end, room = begin, INDEX_WORDS
-            while end < len(texts) and (end == begin or len(texts[end] or "") // 2 <= room):
-                room -= len(texts[end] or "") // 2
-                end += 1
-            for name, part in zip(out, _scan(texts[begin:end], known), strict=True):
-                out[name] += part
-            begin = end
-        return out
+def marked(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> tuple[DataFrame, str]:
+    """documents with one more column, a struct of n_words, spans (words [start, end) inside any benchmark phrase, merged) and
+    items (ids, as sorted strings), and that column's name.
 
-    return each
+    The benchmark's phrases are counted: up to `phrases` go to every task at once, and no row moves. A larger benchmark goes in blocks, one
+    pass each, whose hits are written before the next is read; they come back to the documents by doc_id and the text's digest, so rows that repeat an
+    id keep to themselves.
+    """
+    name, known = unused(documents, "_found"), _blocks(benchmark, window, phrases)
+    first, second = next(known), next(known, None)
+    if second is None:
+        return _pass(documents, name, first)[0], name
+    digest, hits = unused(documents, "_digest"), []
+    keyed = documents.withColumn(digest, F.md5(F.encode("text", "UTF-8")))
+    for block in (x for some in ([first, second], known) for x in some):
+        found, held = _pass(keyed.select("doc_id", "text", digest), name, block)
+        found = found.filter(F.size(f"{name}.spans") > 0).select(F.col("doc_id").alias("_hit"), F.col(digest).alias("_of"), f"{name}.spans", f"{name}.items")
+        hits.append(materialise(found.distinct(), "decontaminate-hits"))
+        held.destroy()
+    every = hits[0]
+    for one in hits[1:]:
+        every = every.union(one)
+    every = every.groupBy("_hit", "_of").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
 
+    def merged(cols: dict) -> dict:
+        out = [[] for _ in cols["all"]]
+        for spans, found in zip(out, cols["all"], strict=True):
+            for span in found:
+                _cover(spans, span["start"], span["end"])
+        return {"spans": out}
 
-def _pass(documents: DataFrame, phrases: Phrases) -> DataFrame:
-    """One block's phrases against all documents."""
-    held = documents.sparkSession.sparkContext.broadcast(phrases)
+    every = append(every, "_merged", ["all"], "spans array<struct<start:bigint,end:bigint>>", lambda: merged)
+    every = materialise(every.select("_hit", "_of", F.col("_merged.spans").alias("_spans"), "_items"), "decontaminate-merged")
+    forget(*hits)
+    size = every.agg(F.sum(F.size("_spans") + F.size("_items"))).first()[0] or 0
+    at = [unused(keyed, c) for c in every.columns]
+    every = every.toDF(*at)
+    joined = keyed.join(F.broadcast(every) if size <= BROADCAST_HITS else every, F.col("doc_id").eqNullSafe(F.col(at[0])) & (F.col(digest) == F.col(at[1])), "left")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)).cast("bigint"), F.lit(0).cast("bigint"))
+    spans, items = (F.coalesce(F.col(c), F.array().cast(kind)) for c, kind in ((at[2], "array<struct<start:bigint,end:bigint>>"), (at[3], "array<string>")))
+    return joined.withColumn(name, F.struct(n_words.alias("n_words"), spans.alias("spans"), items.alias("items"))).select(*documents.columns, name), name
 
-    def start():
-        scan = _scanner(held.value)
-        digest = lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        return lambda cols: scan(cols["text"]) | {"doc_id": cols["doc_id"], "digest": list(map(digest, cols["text"]))}
 
-    return map_rows(documents, ["doc_id", "text"], SCHEMA + ", digest string", start)
+def _hit(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, x: n + x.end - x.start)
 
 
-def unseen_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of documents that aren't contaminated, with all their columns. No row moves, also where the benchmark takes several passes."""
-    name = unused(documents, "_seen")
-    for phrases in _blocks(benchmark, window, block_bytes):
-        held = documents.sparkSession.sparkContext.broadcast(phrases)
+def benchmark_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> DataFrame:
+    """doc_id, n_words, spans, items of every document, as in marked()."""
+    found, name = marked(documents.select("doc_id", "text"), benchmark, window, phrases)
+    return found.select("doc_id", f"{name}.n_words", f"{name}.spans", f"{name}.items")
 
-        def start(held=held):
-            scan = _scanner(held.value)
-            return lambda cols: {k: v for k, v in scan(cols["text"]).items() if k != "items"}
 
-        found = unused(documents, name)
-        documents = append(documents, found, ["text"], "n_words bigint, spans array<struct<start:bigint,end:bigint>>", start)
-    added = [c for c in documents.columns if c.startswith(name)]
-    spans = F.array_sort(F.concat(*[F.col(f"{c}.spans") for c in added]))
-    empty = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("to"))
-    covered = F.aggregate(spans, empty, lambda a, x: F.struct((a.hit + F.greatest(x.end - F.greatest(x.start, a.to), F.lit(0))).alias("hit"), F.greatest(a.to, x.end).alias("to")))
-    hit = covered.hit
-    return documents.filter(~((hit > 0) & (hit * 20 >= F.col(f"{added[0]}.n_words")))).drop(*added)
+def unseen_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> DataFrame:
+    """The rows of documents that aren't contaminated, with all their columns."""
+    found, name = marked(documents, benchmark, window, phrases)
+    hit = _hit(f"{name}.spans")
+    return found.filter(~((hit > 0) & (hit * 20 >= F.col(f"{name}.n_words")))).select(documents.columns)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The verdict per document: words, words hit, items, and whether a twentieth of the words is hit."""
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x.end - x.start)
+    hit = _hit("spans")
     return benchmark_spans(documents, benchmark).select(
         "doc_id",
         "n_words",
