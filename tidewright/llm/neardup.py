@@ -1,22 +1,27 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 Every text gets the set of its distinct word shingles, hashed, and a signature of K coordinates, each the least of the set under one
-hash function. Texts with equal sets form one class, and only its smallest doc_id goes on. A representative is posted
+hash function. Texts with equal sets form one class, and only its first row goes on. A representative is posted
 under each (coordinate, value) pair. Postings that stand alone can't collide; a document with fewer than T shared
 ones can't reach T collisions. Of the others it suffices to look at a prefix, the rarest K - T + 1 coordinates, lone ones included:
 two documents with T collisions share one of them. So common passages cost nothing unless they make up most of a text.
 
-Pairs come in two rounds. First every posting links its members to the most popular one, whose coordinates have the
+Pairs come in rounds. First every posting links its members to the most popular one, whose coordinates have the
 longest lists, as an original among its copies has; these pairs are verified on the full sets, which joins nearly all
-copies. Then the posting lists are merged again, skipping whatever is already joined: only lists that still hold several components are
-compared, in blocks of bounded size, pairs of different components only. Those pairs also have to agree in a longer sketch of
-S bytes, which only documents with a prefix get, and are verified too. So no list is expanded into all its pairs, and none is capped.
+copies. Then the posting lists are merged again, skipping whatever is already joined. In lists that still hold several components and no
+more than `block` members, collisions are counted between members of different components, first over the K coordinates, where T are
+needed, then over L of which the K are the first; what reaches both is verified. Longer lists are not expanded: their
+members are posted once more, under L coordinates, whose prefix only meets where texts agree in nearly as much as the similarity asks; so a passage that
+makes up half of a million texts leaves no list here. Stars and components follow as before, and what is still apart within a list is
+compared in blocks. No list is capped.
 
 With K = 64 and T = 36, a pair at similarity 0.8 falls below T with a chance of about one in a hundred thousand, and
-less the more similar it is. The sketch's bound is five standard deviations below the similarity; no other pair is lost.
+less the more similar it is; with L = 256 the bound is 4.4 standard deviations down, at 176. No other pair is lost.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing. Every row is a document
-of its own, also where a doc_id repeats; rows with a null doc_id count last. Other columns are ignored.
+of its own, also where a doc_id repeats. Rows with a null doc_id link like others and never name a component that holds an id; where
+none does, component_id is null and the first row is kept. An empty table gives no rows. Memory follows the longest text, at some ten times
+its size. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +34,14 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh3_64_intdigest
 
-from tidewright.llm.shared import components, ids_for_join, map_rows, materialise
+from tidewright.llm.shared import components, forget, ids_for_join, map_rows, materialise
 
 #: Words in a shingle and least similarity, in hundredths, as near-duplicate operators have them unless told otherwise.
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a signature, and collisions that make a candidate.
 COORDINATES, MATCHES = 64, 36
-#: Bytes of the longer sketch.
-SKETCH = 1024
+#: Coordinates of the long signature, which only candidates get.
+LONG = 256
 #: Members of a posting list that are compared at once; longer lists go in blocks, each pair of blocks a group.
 BLOCK = 512
 
@@ -82,10 +87,14 @@ def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return _mixed(low)
 
 
-def sketch_bound(percent: int) -> int:
-    """Equal bytes that two sketches of a pair at the similarity have at least, five standard deviations down."""
+def long_matches(percent: int) -> int:
+    """Collisions over the long signature that a pair at the similarity has at least, 4.4 standard deviations down."""
     p = percent / 100
-    return int(SKETCH * p - 5 * np.sqrt(SKETCH * p * (1 - p)))
+    return int(LONG * p - 4.4 * np.sqrt(LONG * p * (1 - p)))
+
+
+def _coordinates(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    return (signature(hashes, multipliers) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def signatures(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
@@ -98,7 +107,7 @@ def signatures(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
             sets = [shingles(t, size) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [_digest(s) for s in sets],
-                "signature": [(signature(s, multipliers) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(s) else None for s in sets],
+                "signature": [_coordinates(s, multipliers) if len(s) else None for s in sets],
             }
 
         return each
@@ -110,20 +119,19 @@ def _digest(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
-def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest of the set, the sorted set and its sketch, for rows that are candidates."""
+def shingle_sets(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
+    """doc_id, digest of the set, the sorted set and its long signature, for rows that are candidates."""
 
     def start():
-        multipliers = _constants(SKETCH, 4)
+        multipliers = _constants(coordinates, 3)
 
         def each(cols: dict) -> dict:
             sets = [shingles(t, size) for t in cols["text"]]
-            sketches = [(signature(s, multipliers) >> np.uint64(56)).astype(np.uint8).tobytes() for s in sets]
-            return {"doc_id": cols["doc_id"], "digest": [_digest(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "sketch": sketches}
+            return {"doc_id": cols["doc_id"], "digest": [_digest(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "long": [_coordinates(s, multipliers) for s in sets]}
 
         return each
 
-    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, digest binary, hashes array<bigint>, sketch binary", start)
+    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, digest binary, hashes array<bigint>, long array<int>", start)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,54 +142,95 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("both") * 100 >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    rows = materialise(signatures(documents, size, coordinates).withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    grouped = rows.filter("n_shingles > 0").groupBy("digest", "n_shingles")
-    classes = materialise(grouped.agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.first("signature").alias("signature")), "near-classes")
-    posted = classes.select("rep", F.posexplode("signature").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("key"))
-    shared = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+def _prefixes(signed: DataFrame, matches: int) -> DataFrame:
+    """rep, popular, keys: of documents that share at least `matches` coordinates, the shared ones of their prefix.
 
-    # The prefix: lone coordinates are the rarest, then shared ones by the length of their lists.
-    lists = posted.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists"))
+    signed: rep and signature. popular: members of all lists of the document together.
+    """
+    posted = signed.select("rep", F.posexplode("signature").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("key"))
+    shared = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+    # Lone coordinates are the rarest, then shared ones by the length of their lists.
+    lists = posted.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists")).filter(F.size("lists") >= matches)
     popular = F.aggregate("lists", F.lit(0).cast("bigint"), lambda n, x: n + x.n)
-    lists = lists.filter(F.size("lists") >= matches).select("rep", popular.alias("popular"), F.slice("lists", 1, F.size("lists") - matches + 1).alias("lists"))
-    prefix = lists.join(classes, "rep").select("rep", "doc", "digest", "n_shingles", "signature", "popular", F.col("lists.key").alias("keys"))
-    prefix = materialise(prefix, "near-prefix")
-    # Texts stay where they are if the candidates' ids can be broadcast.
-    wanted = ids_for_join(materialise(prefix.select(F.col("doc").alias("near_doc")).distinct(), "near-wanted"))
-    sets = shingle_sets(documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("near_doc"), "left_semi"), size)
-    sets = materialise(sets.join(prefix.select("rep", F.col("doc").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "hashes", "sketch"), "near-sets")
+    return lists.select("rep", popular.alias("popular"), F.slice("lists", F.lit(1), F.size("lists") - (matches - 1)).alias("lists")).select("rep", "popular", F.col("lists.key").alias("keys"))
 
-    # First round: every list's members to its most popular.
+
+def _stars(prefix: DataFrame) -> DataFrame:
+    """a < b: every list's members with its most popular one."""
     held = prefix.select("rep", "popular", F.explode("keys").alias("key"))
     centre = held.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("back"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
     centre = materialise(centre.select("key", (-F.col("m.back")).alias("centre")), "near-centres")
     stars = held.join(centre, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    near = materialise(_verified(_alike(materialise(stars, "near-pairs"), prefix, matches, percent), sets, percent), "near-links")
-    joined = components(near)
+    return materialise(stars, "near-pairs")
 
-    # Second round: lists that still hold several components, in blocks.
-    part = prefix.join(joined, prefix.rep == joined.node, "left").select("rep", "n_shingles", "keys", F.coalesce("component", "rep").alias("component"))
+
+def _apart(prefix: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prefix with each document's component, and key, n of the lists that still hold several components."""
+    part = prefix.join(joined, prefix.rep == joined.node, "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
     part = materialise(part, "near-parts")
-    several = part.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    several = materialise(several.filter("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "near-several")
-    members = part.select("rep", "component", F.explode("keys").alias("key")).join(several, "key")
+    lists = part.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    return part, materialise(lists.filter("low <> high").select("key", "n"), "near-several")
+
+
+def _compared(part: DataFrame, lists: DataFrame, sets: DataFrame, sizes: DataFrame, coordinates: int, matches: int, percent: int, block: int) -> DataFrame:
+    """a < b of different components that meet in any of the lists and have enough collisions."""
+    lists = lists.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = part.select("rep", "component", F.explode("keys").alias("key")).join(lists, "key")
     members = members.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
     spread = members.select("rep", "component", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("rep", "component", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    spread = spread.join(part.select("rep", "n_shingles", "keys").join(sets.select("rep", "sketch"), "rep"), "rep")
-    more = spread.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint")
-    late = materialise(_verified(materialise(more, "near-more"), sets, percent), "near-late")
-    final = components(near.union(late))
+    own = members.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    spread = spread.join(own.join(sizes, "rep").join(sets.select("rep", "long"), "rep"), "rep")
+    return materialise(spread.groupBy("key", "i", "j").applyInArrow(_compare(coordinates, matches, percent), "a bigint, b bigint"), "near-more")
+
+
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows = materialise(signatures(documents, size, coordinates).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    grouped = rows.filter("n_shingles > 0").groupBy("digest", "n_shingles")
+    classes = materialise(grouped.agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.first("signature").alias("signature")), "near-classes")
+    prefix = _prefixes(classes.select("rep", "signature"), matches).join(classes.select("rep", "doc", "digest", "n_shingles", "signature"), "rep")
+    prefix = materialise(prefix, "near-prefix")
+    sizes = prefix.select("rep", "n_shingles")
+    # Texts stay where they are if the candidates' ids can be broadcast. A null id is an id like others.
+    wanted = ids_for_join(materialise(prefix.select(F.col("doc").alias("near_doc")).distinct(), "near-wanted"))
+    sets = shingle_sets(documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("near_doc")), "left_semi"), size, max(LONG, coordinates))
+    named = prefix.select("rep", F.col("doc").alias("near_doc"), F.col("digest").alias("near_digest"))
+    sets = sets.join(named, F.col("doc_id").eqNullSafe(F.col("near_doc")) & (F.col("digest") == F.col("near_digest")))
+    sets = materialise(sets.dropDuplicates(["rep"]).select("rep", "hashes", "long"), "near-sets")
+
+    # First round: every list's members to its most popular.
+    near = materialise(_verified(_alike(_stars(prefix), prefix, matches, percent), sets, percent), "near-links")
+    # Second round: lists that still hold several components.
+    part, several = _apart(prefix.select("rep", "keys"), components(near))
+    short, long = several.filter(F.col("n") <= block), several.filter(F.col("n") > block)
+    late = materialise(_verified(_compared(part, short, sets, sizes, coordinates, matches, percent, block), sets, percent), "near-late")
+    links = near.union(late)
+    if long.limit(1).count():
+        links = materialise(_deeper(part, long, links, sets, sizes, coordinates, matches, percent, block), "near-deep")
+    final = components(links)
 
     # Every row: its class, the component of that, and the component's smallest doc_id.
     labelled = materialise(classes.join(final, classes.rep == final.node, "left").select("digest", "n_shingles", "doc", F.coalesce("component", "rep").alias("component")), "near-classed")
     first = materialise(labelled.groupBy("component").agg(F.min("doc").alias("component_id")), "near-first")
-    named = materialise(labelled.join(first, "component").select("digest", "n_shingles", "component_id"), "near-named")
-    full = rows.filter("n_shingles > 0").select("doc_id", "digest", "n_shingles").join(named, ["digest", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    out = full.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = materialise(labelled.join(first, "component").select("digest", "n_shingles", "component", "component_id"), "near-named")
+    full = rows.filter("n_shingles > 0").select("doc_id", "digest", "n_shingles", "row").join(named, ["digest", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "row", "component")
+    out = full.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", "row"))
+    kept = F.when(F.col("component_id").isNull(), F.col("row") == F.col("component")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    forget(classes, prefix, sets, part, several, near, late, labelled, first)
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _deeper(part: DataFrame, lists: DataFrame, links: DataFrame, sets: DataFrame, sizes: DataFrame, coordinates: int, matches: int, percent: int, block: int) -> DataFrame:
+    """links and those among the members of long lists, which are posted under the long signature."""
+    members = part.select("rep", F.explode("keys").alias("key")).join(lists, "key", "left_semi").select("rep").distinct()
+    signed = materialise(members.join(sets.select("rep", F.slice("long", 1, LONG).alias("signature")), "rep"), "near-signed")
+    prefix = materialise(_prefixes(signed, long_matches(percent)), "near-deeper")
+    stars = materialise(_verified(_stars(prefix), sets, percent), "near-links")
+    links = links.union(stars)
+    part, several = _apart(prefix.select("rep", "keys"), components(links))
+    late = _verified(_compared(part, several, sets, sizes, coordinates, matches, percent, block), sets, percent)
+    return links.union(late)
 
 
 def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -193,24 +242,25 @@ def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> D
     return pairs.join(left, "a").join(right, "b").filter(sized & (hits >= matches)).select("a", "b")
 
 
-def _compare(percent: int):
-    """Pairs of different components within a block (i = j) or between two blocks whose sketches allow the similarity."""
+def _compare(coordinates: int, matches: int, percent: int):
+    """Pairs of different components within a block (i = j) or between two blocks that have enough collisions."""
     import pyarrow as pa
 
-    bound = sketch_bound(percent)
+    bound = long_matches(percent)
 
     def run(table: pa.Table) -> pa.Table:
         rep, part, size = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         side = table.column("mine").to_numpy() == table.column("i").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        sign = table.column("long").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
         keys, here = [set(k) for k in table.column("keys").to_pylist()], table.column("key")[0].as_py()
         left = np.flatnonzero(side)
         right = left if table.column("i")[0] == table.column("j")[0] else np.flatnonzero(~side)
         a, b = [], []
         for x in left:
             other = right[(part[right] != part[x]) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)]
-            if len(other):
-                found = other[(sketch[other] == sketch[x]).sum(1) >= bound]
+            other = other[(sign[other, :coordinates] == sign[x, :coordinates]).sum(1) >= matches]
+            found = other[(sign[other, :LONG] == sign[x, :LONG]).sum(1) >= bound]
+            if len(found):
                 # A pair that meets in several lists is told in the first of them only.
                 found = found[np.fromiter((min(keys[x] & keys[y]) == here for y in found), bool, len(found))]
                 a.append(np.minimum(rep[found], rep[x]))
