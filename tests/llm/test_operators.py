@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ def plain_hits(texts, items, window=13):
     grams = {}
     for item, text in items:
         w = decontaminate.words(text)
-        for at in range(max(1, len(w) - window + 1) if w and item is not None else 0):
-            grams.setdefault(tuple(w[at : at + window]), set()).add(str(item))
+        for at in range(max(1, len(w) - window + 1) if w else 0):
+            grams.setdefault(tuple(w[at : at + window]), set()).update([] if item is None else [str(item)])
     out = []
     for text in texts:
         w, hit, found = decontaminate.words(text), set(), set()
@@ -59,15 +60,33 @@ def test_decontamination(spark, seed):
     got = decontaminate.contamination(docs_of(spark, texts), bench)
     assert sorted(map(tuple, got.collect())) == want
     # In several passes over a benchmark that is too large for one.
-    spans = decontaminate.benchmark_spans(docs_of(spark, texts), bench, block_bytes=60)
+    spans = decontaminate.benchmark_spans(docs_of(spark, texts), bench, phrases=9)
     hits = {r.doc_id: sum(s.end - s.start for s in r.spans) for r in spans.collect()}
     assert hits == {k: x[1] for k, *x in want}
-    for size in (60, 1 << 20):
-        kept = decontaminate.unseen_documents(docs_of(spark, texts), bench, block_bytes=size)
+    for size in (9, 1 << 20):
+        kept = decontaminate.unseen_documents(docs_of(spark, texts), bench, phrases=size)
         assert kept.columns == docs_of(spark, texts).columns
         assert sorted(r.doc_id for r in kept.collect()) == [k for k, *x in want if not x[4]]
 
 
+def test_one_index_per_shard(monkeypatch):
+    """Many rows share an index; a text longer than an index is searched in pieces, also across their cuts."""
+    rng, made = random.Random(3), []
+    texts = [" ".join(rng.choices("abcde", k=30)) for _ in range(5000)] + [None, " ".join(rng.choices("abcde", k=3000))]
+    items = [(str(k), texts[k * 7]) for k in range(20)] + [(None, texts[-1][1000:1030])]
+    monkeypatch.setattr(decontaminate.FMIndex, "__init__", (lambda init: lambda self, *a: (made.append(len(a[0])), init(self, *a))[1])(decontaminate.FMIndex.__init__))
+    phrases, got = decontaminate.Phrases(items), []
+    for words in (2_000_000, 97):
+        monkeypatch.setattr(decontaminate, "INDEX_WORDS", words)
+        got.append(decontaminate.scan(texts, phrases))
+        assert len(made) == 1 or max(made[1:]) < 500
+    assert got[0] == got[1]
+    want = plain_hits(texts, items)
+    assert [sum(s["end"] - s["start"] for s in x) for x in got[0]["spans"]] == [x[1] for x in want] and [len(x) for x in got[0]["items"]] == [x[2] for x in want]
+    rows = pa.record_batch({"text": texts})
+    assert [b.num_rows for b in shared.gathered(iter([rows.slice(k, 1024) for k in range(0, 5002, 1024)]), 100_000)] == [2048, 2048, 906]
+
+
 def test_decontamination_of_nothing(spark):
     docs, bench = docs_of(spark, ["a b"]), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(docs, bench).first().n_hit == 0
@@ -250,6 +269,31 @@ def test_near_duplicates(spark, size, block):
     assert all(r.n_shingles == len(sets[k]) and r.kept == (k == want[k]) for k, r in got.items())
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Null-id copies bridge two documents; two of them alone keep one; repeated ids are documents of their own."""
+    words = [f"w{k}" for k in range(400)]
+    chain = [" ".join(words[k * 8 : k * 8 + 100]) for k in range(4)]
+    texts = [(5, chain[0]), (None, chain[1]), (9, chain[2]), (None, chain[3]), (None, "alone " + " ".join(words[300:350])), (None, " ".join(words[300:350])), (7, "x y z"), (7, "p q r"), (8, "p q r"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, size=4).collect()), key=str)
+    assert got == sorted([(5, 97, 5, True), (None, 97, 5, False), (9, 97, 5, False), (None, 97, 5, False), (None, 48, None, True), (None, 47, None, False), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, True)], key=str) or got == sorted(
+        [(5, 97, 5, True), (None, 97, 5, False), (9, 97, 5, False), (None, 97, 5, False), (None, 48, None, False), (None, 47, None, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, True)], key=str
+    )
+
+
+def test_long_lists_are_not_expanded(spark, monkeypatch):
+    """4,000 texts share three fifths of their words and lie in 2,000 components; their long lists go on as a long signature's, where none is left."""
+    rng = random.Random(11)
+    common, texts, told = " ".join(f"c{k}" for k in range(120)), [], {}
+    for k in range(2000):
+        own = [f"u{rng.randrange(10**9)}" for _ in range(75)]
+        texts += [common + " " + " ".join(own), common + " " + " ".join([*own[:-2], "other"])]
+    monkeypatch.setattr(neardup, "_compared", (lambda old: lambda part, lists, *a: (told.setdefault(len(told), sum(r.n for r in lists.collect())), old(part, lists, *a))[1])(neardup._compared))
+    got = neardup.near_duplicates(docs_of(spark, texts), size=4, block=64).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+    assert told[1] < len(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs_of(spark, ["a b"]).limit(0)).count() == 0
     twice = docs_of(spark, ["a b c d e f", "g h i j k l"]).withColumn("doc_id", F.lit(7).cast("bigint"))
@@ -300,6 +344,24 @@ def test_mix_is_near_its_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs_of(spark, [None])).first().taken == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_of_few_large_documents(spark, seed):
+    """Uses that finish long after time 1 are taken while the budget lasts."""
+    from tests.test_queries import plain
+
+    rng = random.Random(seed)
+    rows = [(k if k % 9 else 4, "w " * rng.choice([0, 1, 10, 50, 100]), rng.choice(["a", "b", "c", "d", "e", "f", "g", "h", None])) for k in range(25)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, source string, place bigint")
+    con = duckdb.connect()
+    documents = con.from_arrow(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]}))
+    assert documents.columns == ["doc_id", "text", "source"]
+    con.register("documents", documents.to_arrow_table())
+    per_row = queries.SQL["op6_mixing"].replace("select doc_id, source, coalesce(len", "select row_number() over () as row, doc_id, source, coalesce(len").replace("select doc_id, place, size, (sent", "select row, doc_id, place, size, (sent")
+    per_row = per_row.replace("select doc_id, sum(size) as taken", "select row, sum(size) as taken").replace("group by doc_id)", "group by row)").replace("using (doc_id)", "using (row)")
+    got = mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(repr(plain(list(r))) for r in got) == sorted(repr(plain(list(r))) for r in con.sql(per_row).fetchall())
+
+
 # 7
 
 

@@ -32,7 +32,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ select chosen_id, rejected_id, n_common,
   (len(good) = 0 and len(bad) = 0) as identical from q""",
     "op6_mixing": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-                  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint as place from documents),
+                  ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ' ' || coalesce(text, '')), 1, 13))::bigint as place from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source collate "C" nulls last) - 1) % 3 + 1)::int]::double as weight, source_size * 2.0::double as full_size from s),
 l as (select *, ((sum(source_size) over ())::double * 1.5::double - coalesce(sum(full_size) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
@@ -94,8 +94,8 @@ o as (select d.*, source_size, target, sum(size) over (partition by d.source ord
       from d join t on d.source is not distinct from t.source),
 u as (select doc_id, place, size, (sent + source_size * k) / target as finish from o, (values (0), (1)) x(k) where size > 0),
 v as (select *, sum(size) over (order by finish, place, doc_id rows unbounded preceding) as upto from u),
-g as (select doc_id, sum(size) as taken from v where upto <= (select sum(target) from t) group by doc_id)
-select doc_id, size, source_size, round(target, 3) as target, coalesce(taken, 0)::bigint as taken from o left join g using (doc_id)""",
+g as (select doc_id, sum(size) as taken from v where upto <= (select sum(source_size) * 1.5::double from t) group by doc_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from o left join g using (doc_id)""",
     "op9_warc": r"""
 with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
 q as (select *, max(page_id) over (partition by html) as last from p)
@@ -103,7 +103,7 @@ select page_id, payload_bytes::bigint as payload_bytes, sha1(html) as payload_di
   case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and last <> page_id then last end as refers_to from q""",
     "op1_decontamination": r"""
-with recursive b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null and item_id is not null),
+with recursive b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
 g as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as gram from b, lateral (select unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i) where len(w) > 0),
 d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
 h as (select distinct doc_id, i, n, gram from d, lateral (select unnest(range(1, len(w) + 1)) as i), (select distinct n from g) x, lateral (select array_to_string(w[i:i + n - 1], ' ') as gram) where i + n - 1 <= len(w) and gram in (select gram from g)),
