@@ -5,15 +5,21 @@ random projections in a fresh order, and all classes are sorted by label and key
 vectors share long beginnings of their keys, so they stand close; each is compared with the vectors of a bounded
 window before it, in double precision, also where the sorted order is cut into tasks. The pairs that hold in any pass are
 united into components, and links are counted exactly among all vectors of a component, in pairs of blocks, so a group of near
-vectors may be of any size. A link between two components that no pass joins is missed; recall is measured in the tests.
+vectors may be of any size. A link between two components that no pass joins is missed; the number of passes grows with the largest label,
+so that a pair at the least cosine still meets with the chance RECALL, and recall is measured in the tests.
+
+Vectors move as they came, in 4 bytes a component where the column holds floats, and are brought to length 1 in double precision where they are compared.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null label link with nothing. Vectors
-of different lengths are not compared. Every row is a vector of its own, also where a vec_id repeats. Other columns are ignored.
+of different lengths are not compared. Every row is a vector of its own, also where a vec_id repeats; a null vec_id is linked and never names a
+component that holds an id. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import _slices, components, materialise
+from tidewright.llm.shared import _slices, components, forget, materialise
 
 COSINE = 0.93
-#: Sorted passes, bits of a key in each, and neighbours before a vector that it is compared with.
+#: Sorted passes at least, bits of a key in each, and neighbours before a vector that it is compared with.
 PASSES, BITS, NEIGHBOURS = 12, 48, 384
+#: The chance that a pair at the least cosine stands within a window in some pass.
+RECALL = 0.95
 #: Rows that a task compares with their windows at once.
 ROWS = 512
 #: Vectors of a component that are counted as one block; a task holds two.
@@ -35,13 +43,31 @@ BLOCK = 4096
 _KEYED = "pass int, group string, key bigint, cls bigint, vector binary"
 
 
+def passes_for(largest: int, cosine: float, neighbours: int) -> int:
+    """Passes for labels of up to so many distinct vectors.
+
+    One bit of two vectors agrees with the chance 1 - angle / pi; keys that agree in log2(largest / neighbours) bits stand within a window.
+    """
+    bits = max(0.0, math.log2(max(1, largest) / neighbours))
+    meet = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(max(1e-12, 1 - meet))))
+
+
+def _units(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+@functools.lru_cache(maxsize=256)
 def _planes(dim: int, number: int) -> np.ndarray:
     """Random projections of a pass, the same in every task."""
     seed = int.from_bytes(hashlib.blake2b(f"{dim}:{number}".encode(), digest_size=8).digest(), "little")
     return np.random.default_rng(seed).standard_normal((dim, BITS))
 
 
-def _keyed(passes: int):
+def _keyed(passes: int, kind: str):
     arrow = pa.schema([("pass", pa.int32()), ("group", pa.string()), ("key", pa.int64()), ("cls", pa.int64()), ("vector", pa.binary())])
     weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
 
@@ -53,9 +79,9 @@ def _keyed(passes: int):
                 for k, v in enumerate(vectors):
                     by_size.setdefault(len(v), []).append(k)
                 for size, rows in by_size.items():
-                    x = np.frombuffer(b"".join(vectors[k] for k in rows), np.float64).reshape(len(rows), -1)
+                    x = _units([vectors[k] for k in rows], kind)
                     for n in range(passes):
-                        key = (x @ _planes(size // 8, n) > 0) @ weights
+                        key = (x @ _planes(x.shape[1], n) > 0) @ weights
                         yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows), pa.int32()), pa.array([groups[k] for k in rows]), pa.array(key), pa.array([ids[k] for k in rows]), pa.array([vectors[k] for k in rows], pa.binary())], schema=arrow)
 
     return run
@@ -83,22 +109,22 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pair.get(f.name, pa.nulls(len(a), f.type)) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
 
 
-def _windowed(cosine: float, neighbours: int):
+def _windowed(cosine: float, neighbours: int, kind: str):
     """Links within a sorted partition; the last `neighbours` vectors are carried from piece to piece.
 
     The begin of a partition's first run (head) and the end of its last go out as well, for the windows over the cuts.
     """
 
-    def edge(head: bool, run_of: tuple, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def edge(head: bool, run_of: tuple, ids: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
         n, part = len(ids), TaskContext.get().partitionId()
         row = {
             "part": pa.array([part] * n, pa.int32()), "head": pa.array([head] * n), "pass": pa.array([run_of[0]] * n, pa.int32()), "group": pa.array([run_of[1]] * n, pa.string()),
-            "cls": pa.array(ids), "vector": pa.array([v.tobytes() for v in x], pa.binary()),
+            "cls": pa.array(ids), "vector": pa.array(raw, pa.binary()),
         }
         return pa.RecordBatch.from_arrays([row.get(f.name, pa.nulls(n, f.type)) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_of, ids, x = None, np.zeros(0, np.int64), None
+        run_of, ids, x, raw = None, np.zeros(0, np.int64), None, []
         first, headed = None, 0
         for batch in batches:
             for piece in _slices(batch, ROWS):
@@ -109,26 +135,26 @@ def _windowed(cosine: float, neighbours: int):
                     end = begin
                     while end < len(marks) and marks[end] == marks[begin]:
                         end += 1
-                    new = np.frombuffer(b"".join(vectors[begin:end]), np.float64).reshape(end - begin, -1)
+                    new = _units(vectors[begin:end], kind)
                     if marks[begin] != run_of:
-                        run_of, ids, x = marks[begin], np.zeros(0, np.int64), np.zeros((0, new.shape[1]))
+                        run_of, ids, x, raw = marks[begin], np.zeros(0, np.int64), np.zeros((0, new.shape[1])), []
                     first = first or run_of
                     if run_of == first and headed < neighbours:
-                        yield edge(True, run_of, cls[begin:end][: neighbours - headed], new[: neighbours - headed])
+                        yield edge(True, run_of, cls[begin:end][: neighbours - headed], vectors[begin:end][: neighbours - headed])
                         headed += end - begin
                     ids, x = np.concatenate([ids, cls[begin:end]]), np.concatenate([x, new])
                     a, b = _links(ids, x, len(ids) - (end - begin), cosine, neighbours)
                     if len(a):
                         yield _pairs(a, b)
-                    ids, x = ids[-neighbours:], x[-neighbours:]
+                    ids, x, raw = ids[-neighbours:], x[-neighbours:], (raw + vectors[begin:end])[-neighbours:]
                     begin = end
         if run_of:
-            yield edge(False, run_of, ids, x)
+            yield edge(False, run_of, ids, raw)
 
     return run
 
 
-def _over_cuts(found: DataFrame, cosine: float, neighbours: int) -> DataFrame:
+def _over_cuts(found: DataFrame, cosine: float, neighbours: int, kind: str) -> DataFrame:
     """Links of every partition's first rows to the rows of its run that stand in the partitions before it.
 
     The driver sees one row per partition and side. A partition shorter than the window that holds a single run leads on to the one before.
@@ -157,14 +183,14 @@ def _over_cuts(found: DataFrame, cosine: float, neighbours: int) -> DataFrame:
         # All pairs before the cut are compared elsewhere, so links may be left out here as within a partition.
         head = table.column("head").to_numpy(zero_copy_only=False)
         at = np.argsort(head, kind="stable")
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(at), -1)[at]
+        x = _units(table.column("vector").to_pylist(), kind)[at]
         a, b = _links(table.column("cls").to_numpy()[at], x, int((~head).sum()), cosine, len(at))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return before.union(after).groupBy("target").applyInArrow(compare, "a bigint, b bigint")
 
 
-def _counted(cosine: float):
+def _counted(cosine: float, kind: str):
     """Near partners of every vector, with their weights, within a block (i = j) or between two blocks of a component; sorted by these."""
 
     def near(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +204,7 @@ def _counted(cosine: float):
         return left, right
 
     def count(mine: np.ndarray, i: int, j: int, cls: np.ndarray, weight: np.ndarray, vectors: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(cls), -1)
+        x = _units(vectors, kind)
         if i == j:
             return [(cls, near(x, x, weight, weight, True)[0])]
         a = mine == i
@@ -213,7 +239,7 @@ def _counted(cosine: float):
     return run
 
 
-def _link_counts(units: DataFrame, classes: DataFrame, joined: DataFrame, cosine: float, block: int) -> DataFrame:
+def _link_counts(units: DataFrame, classes: DataFrame, joined: DataFrame, cosine: float, block: int, kind: str) -> DataFrame:
     """cls, others: the rows that are near to each class, by comparing all vectors of its component."""
     sizes = joined.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     of = joined.join(sizes, "component").join(classes.select(F.col("cls").alias("node"), "weight"), "node")
@@ -221,12 +247,13 @@ def _link_counts(units: DataFrame, classes: DataFrame, joined: DataFrame, cosine
     members = of.join(units.select("cls", "vector"), "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "weight", "vector")
     members = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return members.mapInArrow(_counted(cosine), "cls bigint, others bigint").groupBy("cls").agg(F.sum("others").alias("others"))
+    return members.mapInArrow(_counted(cosine, kind), "cls bigint, others bigint").groupBy("cls").agg(F.sum("others").alias("others"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row. passes: by the size of the largest label where not given."""
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = vectors.select("vec_id", "embedding", "label", F.monotonically_increasing_id().alias("row"))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
@@ -237,26 +264,26 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     classes = valid.groupBy("group", "digest").agg(F.min("row").alias("cls"), F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = materialise(classes, "vector-classes")
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(2):
-                x = np.array(v.as_py(), np.float64)
-                x /= np.abs(x).max()
-                out.append((x / np.sqrt((x * x).sum())).tobytes())
+            out = [np.array(v.as_py()).astype(kind).tobytes() for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["cls", "group", "vector"])
 
-    units = classes.select("cls", "group", "v").mapInArrow(unit, "cls bigint, group string, vector binary")
-    keyed = units.mapInArrow(_keyed(passes), _KEYED)
+    units = classes.select("cls", "group", "v").mapInArrow(packed, "cls bigint, group string, vector binary")
+    if passes is None:
+        largest = classes.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        passes = passes_for(largest or 0, cosine, neighbours)
+    keyed = units.mapInArrow(_keyed(passes, kind), _KEYED)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["pass", "group", F.octet_length("vector"), "key", "cls"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("pass", "group", "cls", "vector")
-    found = materialise(ranged.mapInArrow(_windowed(cosine, neighbours), _FOUND), "vector-links")
-    joined = components(found.filter("a is not null").select("a", "b").union(_over_cuts(found, cosine, neighbours)))
-    links = _link_counts(units, classes, joined, cosine, block)
+    found = materialise(ranged.mapInArrow(_windowed(cosine, neighbours, kind), _FOUND), "vector-links")
+    joined = components(found.filter("a is not null").select("a", "b").union(_over_cuts(found, cosine, neighbours, kind)))
+    links = _link_counts(units, classes, joined, cosine, block, kind)
     named = classes.join(joined, classes.cls == joined.node, "left").select("cls", "group", "digest", "first_id", "weight", F.coalesce("component", "cls").alias("component"))
     named = materialise(named.join(links, "cls", "left"), "vector-named")
     first = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "vector-first")
+    forget(found)
     named = named.join(first, "component").select("group", "digest", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     linked = valid.select("vec_id", "group", "digest").join(materialise(named, "vector-labels"), ["group", "digest"]).select("vec_id", "n_links", "component_id")
     out = linked.union(rows.filter("not sound").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
