@@ -2,25 +2,29 @@
 
 A record is a WARC header block, its content by Content-Length, and two line ends, compressed as one gzip member. Of records with
 equal payloads of some length one is a response, the others are revisits that refer to it and carry no content. The
-reader decompresses member by member, frames each record by its header, and checks the digest of every content.
+reader decompresses member by member, frames each record by its header, and checks the digest of every content; resolved()
+holds the digest and length of every revisit against the response that it names.
 
 An archive is a byte string of bounded size, rolled over like a file. Archives are kept as rows of a table in the shared folder, so any store that Spark
-writes can hold them; save_archives() puts them as files into a mounted folder.
+writes can hold them; save_archives() puts them as files into a mounted folder, and read_files() reads archive files of any size in steps.
 
-A null payload is empty. Rows that repeat a page_id are records of their own, all responses where it is the largest of their
+A payload has to fit in memory, as it does in its row. An empty table gives no archives. A null payload is empty. Rows that repeat a page_id are records of their own, all responses where it is the largest of their
 payload; a null page_id is written as "null", read back as null, and always a response. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.shared import _slices, materialise
@@ -61,20 +65,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return press.compress(head) + press.compress(content) + press.compress(b"\r\n\r\n") + press.flush()
 
 
-def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of an archive one after the other, decompressed in steps."""
-    at = 0
-    while at < len(data):
+def members(data: bytes | BinaryIO, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of an archive, bytes or an open file, one after the other, decompressed in steps."""
+    file = io.BytesIO(data) if isinstance(data, bytes) else data
+    piece = file.read(step)
+    while piece:
         engine, out = zlib.decompressobj(31), []
         while not engine.eof:
-            if at >= len(data):
+            if not piece:
                 raise WarcError("the archive ends within a member")
-            piece = data[at : at + step]
             try:
                 out.append(engine.decompress(piece))
             except zlib.error as error:
                 raise WarcError(f"not a gzip member: {error}") from None
-            at += len(piece) - len(engine.unused_data)
+            piece = engine.unused_data or file.read(step)
         yield b"".join(out)
 
 
@@ -153,23 +157,40 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, roll: int = ROLL_
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of archives; a task fails on the first that breaks the format."""
-    schema = archives.sparkSession.createDataFrame([], RECORD).schema
-    arrow = pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                held, size = [], 0
-                for member in members(content.as_py()):
-                    held.append(parse(member))
-                    size += len(member)
-                    if size >= 4 << 20:
-                        yield pa.RecordBatch.from_pylist(held, arrow)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, arrow)
+                yield from _records(io.BytesIO(content.as_py()))
+
+    return archives.select("content").mapInArrow(run, RECORD)
+
+
+def _records(file: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """Parsed records of an archive, some MB at a time."""
+    arrow = pa.schema([(name, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[kind]) for name, kind in (x.split() for x in RECORD.split(", "))])
+    held, size = [], 0
+    for member in members(file):
+        held.append(parse(member))
+        size += len(member)
+        if size >= 4 << 20:
+            yield pa.RecordBatch.from_pylist(held, arrow)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return archives.select("content").mapInArrow(run, schema)
+
+def resolved(records: DataFrame) -> DataFrame:
+    """The records; fails where a revisit's digest and length aren't those of the response that it refers to.
+
+    Only ids, digests and lengths of revisits and of the responses they name are joined, both written once; what is wrong is looked for before the records go on.
+    """
+    told = materialise(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-told")
+    named = told.filter("record_type = 'revisit'").select(F.col("refers_to").alias("named"), "payload_bytes", "payload_digest").distinct()
+    own = told.filter("record_type = 'response'").select(F.col("page_id").alias("named"), "payload_bytes", "payload_digest").distinct()
+    wrong = named.join(own, ["named", "payload_bytes", "payload_digest"], "left_anti").limit(1).collect()
+    if wrong:
+        raise WarcError(f"a revisit doesn't match the record {wrong[0].named}")
+    return told
 
 
 def save_archives(archives: DataFrame, folder: str) -> None:
@@ -184,6 +205,17 @@ def save_archives(archives: DataFrame, folder: str) -> None:
     archives.foreachPartition(save)
 
 
-def load_archives(spark, path: str) -> DataFrame:
-    """Archive files from any store that Spark reads."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of archive files, read in steps: paths in a folder that every executor has mounted, or URIs of a store that Arrow's file systems open.
+
+    One task reads a file, as gzip members can only be found in sequence.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, at = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+                with system.open_input_file(at) as file:
+                    yield from _records(file)
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, RECORD)
