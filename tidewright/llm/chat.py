@@ -1,8 +1,8 @@
 """Chat formatting of preferences: shared turns once as the prompt, then a completion of either side with its masks.
 
-Only DataFrame functions. Pairs come as a table of ids. Two ways to make one from conversations alone: those that share their
+Only DataFrame functions. Pairs come as a table of ids. Without one they are made from the conversations: those that share their
 first user turn answer the same request, and each is chosen over the one in which the assistant says least, so
-a request that very many share gives as many pairs as conversations; and the ids 2k and 2k + 1 make a pair, in
+a request that very many share gives as many pairs as conversations. As an option the ids 2k and 2k + 1 make a pair as well, in
 which the side where the assistant says more is chosen, the even one where both say as much. The longest common beginning
 of both sides, turn by turn with role and text, is rendered once; the turns after it are the completions.
 
@@ -11,7 +11,8 @@ its end mark; role marks and the words of others are not.
 
 Turns are ordered by turn, then role and text; a null turn comes first and null roles or texts count as empty. Repeated rows
 are turns that are said again. A pair with an id that has no turns is left out; a pair that repeats is formatted once; equal
-conversations give empty completions, marked identical. Rows with a null conv_id are left out. Other columns are ignored.
+conversations give empty completions, marked identical. Rows with a null conv_id are left out. An empty table gives no pairs. A conversation's
+turns become one row, as its rendering is one text, so it has to fit in memory. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,14 +77,16 @@ def neighbouring_pairs(whole: DataFrame) -> DataFrame:
     return sides.filter("n > 1").select((-F.col("best.back")).alias("chosen_id"), (-F.col("worst.back")).alias("rejected_id"))
 
 
-def preferences(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def preferences(turns: DataFrame, pairs: DataFrame | None = None, neighbours: bool = False) -> DataFrame:
     """One row per pair: chosen_id, rejected_id, n_common, prompt, chosen and rejected as texts and as masked pieces, identical.
 
-    pairs: chosen_id and rejected_id; without it, both ways to make pairs are taken together.
+    pairs: chosen_id and rejected_id; without it, conversations with the same request. neighbours: also ids 2k and 2k + 1, whatever they ask.
     """
     whole = materialise(conversations_of(turns), "chat-turns")
     if pairs is None:
-        pairs = pairs_by_request(whole).union(neighbouring_pairs(whole))
+        pairs = pairs_by_request(whole)
+        if neighbours:
+            pairs = pairs.union(neighbouring_pairs(whole))
     pairs = materialise(pairs.select("chosen_id", "rejected_id").distinct(), "chat-pairs")
     good, bad = (whole.select(F.col("conv_id").alias(f"{side}_id"), F.col("turns").alias(name)) for side, name in (("chosen", "turns"), ("rejected", "rejected_turns")))
     # Both sides of each join come straight from a shuffle, so an id that very many pairs name can be split.
