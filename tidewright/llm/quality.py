@@ -5,8 +5,9 @@ Statistics of every whole text come from one pass over its bytes and words. On a
 keeps the few rules that matter, and these are compiled into one Spark column expression over the statistics.
 
 Nulls, empty texts and texts without words have all statistics 0 and so a score like any other. Repeated rows are each answered, and a
-document labelled more than once counts with each label. Without labels of both kinds the score is the share of
-good labels, or 0.5 without any. Other columns never enter.
+document labelled more than once counts with each label. Without labels of both kinds the score is near 1 or 0, as the labels are, or
+0.5 without any. An empty table gives no rows. A score at the threshold is good. Ties in the sample's order are broken by the id and the text's
+hash. Memory follows the longest text, at some ten times its size. Other columns never enter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import append, map_rows, unused
+from tidewright.llm.shared import append, map_rows, materialise, unused
 
 #: Labelled rows to learn from, at most; the rows with the smallest hashes are taken.
 SAMPLE_ROWS = 6_000
@@ -99,14 +100,27 @@ def labelled_rows(labels: DataFrame, label: str, fold: tuple[int, int]) -> DataF
     return labels.select(F.col("doc_id").alias("labelled"), F.col(label).alias("label")).filter(F.col("labelled").isNotNull() & F.col("label").isin(0, 1) & ~held_out("labelled", fold))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], rows: int) -> DataFrame:
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], rows: int, size: int | None = None) -> DataFrame:
     """doc_id, text, label of at most `rows` labelled rows outside the held-out fold, half of each label where there are enough.
 
-    The ids are taken by smallest hash, so the same labels give the same sample; with that bound they are broadcast.
+    The ids are taken by smallest hash, so the same labels give the same sample; with that bound they are broadcast. Documents that
+    repeat an id count against the same bound, equal ones once. size: bytes of all texts together; a row that doesn't fit any more is left out.
     """
     told = labelled_rows(labels, label, fold)
-    half = lambda k: told.filter(F.col("label") == k).orderBy(F.xxhash64("labelled"), "labelled").limit(rows // 2)
-    return documents.select("doc_id", "text").join(F.broadcast(half(0).union(half(1))), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label")
+    place = lambda c: (F.xxhash64(c), c)
+    half = lambda k: told.filter(F.col("label") == k).orderBy(*place("labelled")).limit(rows // 2)
+    met = documents.select("doc_id", "text").join(F.broadcast(half(0).union(half(1))), F.col("doc_id") == F.col("labelled"))
+    met = materialise(met.select("doc_id", "label", F.xxhash64("text").alias("of"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "text"), "labelled")
+    picks = []
+    for k in (0, 1):
+        room = None if size is None else size // 2
+        for r in met.filter(F.col("label") == k).select("doc_id", "of", "bytes").distinct().orderBy(*place("doc_id"), "of").limit(rows // 2).collect():
+            if room is None or r.bytes <= room:
+                picks.append((r.doc_id, r.of, k))
+                room = None if room is None else room - r.bytes
+    picks = documents.sparkSession.createDataFrame(picks, "doc_id bigint, of bigint, label int")
+    same = [F.col(f"m.{c}") == F.col(f"p.{c}") for c in ("doc_id", "of", "label")]
+    return met.alias("m").join(F.broadcast(picks.alias("p")), same, "left_semi").dropDuplicates(["doc_id", "of", "label"]).select("doc_id", "text", "label")
 
 
 # --- learning ------------------------------------------------------------------------------------------------------
