@@ -3,18 +3,20 @@
 A text becomes lower-case words; every word enters as the sum of a hashed word vector and the scaled sum of hashed
 vectors of its characters' n-grams. The network reads windows that overlap, and every window of the whole text is
 scored; the text's score is that of its worst window, calibrated on the training sample. It is trained on a bounded
-sample of labelled rows by the gradient of the logistic loss: first all windows carry the label of their text, then of a toxic text
-only the worst windows do.
+sample of labelled rows by the gradient of the logistic loss, over all windows of these: first all carry the label of their text, then of a
+toxic text only the worst windows do. A text longer than PIECE is read in pieces that overlap by a window, so memory is bounded.
 
 The inputs of the gates depend on the word alone, so they are made once per distinct word; a step of the recurrence is then one
 small matrix product over thousands of windows at once.
 
-Nulls and texts without words score 0. Repeated rows are each answered. Without toxic labels every score is 0.
-Other columns never enter.
+Nulls and texts without words score 0. Repeated rows are each answered. Without toxic labels every score is 0, without others 1. An empty
+table gives no rows. A score at the threshold is toxic. Ties in the sample's order are broken by the id and the text's hash. Other columns never enter.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.quality import held_out, labelled_sample
 from tidewright.llm.shared import append, map_rows, unused
 
-#: Labelled rows to learn from, at most; the rows with the smallest hashes are taken.
-SAMPLE_ROWS = 3_000
+#: Labelled rows to learn from, at most, and bytes of their texts; the rows with the smallest hashes are taken.
+SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 16 << 20
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 40, 32
 THRESHOLD = 0.5
@@ -36,10 +38,8 @@ GRAM_SIZES = (3, 5)
 EPOCHS = 7
 #: Weight of the counts in the first vectors, spread of their other numbers, and the vectors' share of the learning rate.
 PRIOR, SPREAD, EMBED_RATE = 0.5, 0.3, 0.2
-#: Windows that one text lends to the training, evenly spread; scoring takes them all.
-TRAIN_WINDOWS = 100
-#: Bytes of text that a task encodes at once; a longer text goes alone.
-PIECE = 4 << 20
+#: Letters of text that a task encodes at once.
+PIECE = 1 << 20
 
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -119,23 +119,18 @@ class Words:
         at = np.repeat(starts[rows] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return Words(self.owner, self.ids, self.word[rows], self.gram[at], count)
 
-    def windows(self, texts: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows x WINDOW of word rows plus one, 0 where a short text is padded, and the text of each window.
 
-        Overlapping windows cover every word; with `most`, of a text with more only so many, evenly spread.
+        Overlapping windows cover every word; the last one ends with the text.
         """
         count = np.bincount(self.owner, minlength=texts)
-        first, starts, owner = np.cumsum(count) - count, [], []
-        for k, n in enumerate(count.tolist()):
-            at = [*range(0, n - WINDOW, STRIDE), max(0, n - WINDOW)] if n else []
-            if most and len(at) > most:
-                at = [at[i * len(at) // most] for i in range(most)]
-            starts += at
-            owner += [k] * len(at)
-        starts, owner = np.array(starts, np.int64), np.array(owner, np.int64)
+        first, each = np.cumsum(count) - count, np.where(count > 0, 1 + -(-np.maximum(count - WINDOW, 0) // STRIDE), 0)
+        owner = np.repeat(np.arange(texts), each)
+        starts = np.minimum((np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)) * STRIDE, np.maximum(count[owner] - WINDOW, 0))
         at = starts[:, None] + np.arange(WINDOW)
         real = at < count[owner][:, None]
-        ids = np.zeros(at.shape, np.int64)
+        ids = np.zeros(at.shape, np.int32)
         ids[real] = self.ids[(at + first[owner][:, None])[real]] + 1
         return ids, owner
 
@@ -265,7 +260,7 @@ def fit(texts: list[str | None], y: np.ndarray, share: float | None = None, epoc
     aside = np.arange(len(texts)) % 5 == 4
     learn, truth = [t for t, a in zip(texts, aside, strict=True) if not a], y[~aside]
     table = Words.joined(learn)
-    cut, owner = table.windows(len(learn), TRAIN_WINDOWS)
+    cut, owner = table.windows(len(learn))
     count = np.bincount(owner, minlength=len(learn))
     batch = max(32, min(batch, len(cut) * epochs // steps_least))  # a small sample still gives enough steps
     if PRIOR:
@@ -354,18 +349,41 @@ def _calibrate(net: Network, z: np.ndarray, y: np.ndarray, share: float | None)
     net.scale, net.shift = float(max(a, 0.05)), float(b)
 
 
+def pieces_of(text: str, size: int) -> Iterator[str]:
+    """A text in pieces of about `size` letters that overlap by a window of words, if that many fit in half a piece."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(" ", at + size // 2, at + size), text.rfind("\n", at + size // 2, at + size))
+        end = end if end > 0 else at + size
+        yield text[at:end]
+        before = text[max(at + 1, end - size // 2) : end]
+        places = [m.start() for m in re.finditer(r"\S+", before)]
+        at = end - len(before) + places[-WINDOW] if len(places) >= WINDOW else end
+    yield text[at:]
+
+
 def worst_windows(net: Network, texts: list[str | None]) -> np.ndarray:
-    """The highest logit over all windows of each text; -inf without words. Memory depends on PIECE and the longest text."""
-    out, at, size = np.full(len(texts), -np.inf), 0, 0
+    """The highest logit over all windows of each text; -inf without words. Some PIECE of text is held as numbers at a time."""
+    out, held, owners, size = np.full(len(texts), -np.inf), [], [], 0
+
+    def read() -> None:
+        table = Words.of(held)
+        gates = [net.padded(x) for x in net.gates(net.vectors(table))]
+        ids, piece = table.windows(len(held))
+        owner = np.array(owners)[piece]
+        for w in range(0, len(ids), 4096):
+            np.maximum.at(out, owner[w : w + 4096], net.run(ids[w : w + 4096], gates))
+
     for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= PIECE or k + 1 == len(texts):
-            table = Words.of(texts[at : k + 1])
-            gates = [net.padded(x) for x in net.gates(net.vectors(table))]
-            ids, owner = table.windows(k + 1 - at)
-            for w in range(0, len(ids), 4096):
-                np.maximum.at(out[at : k + 1], owner[w : w + 4096], net.run(ids[w : w + 4096], gates))
-            at, size = k + 1, 0
+        for piece in pieces_of(text or "", PIECE):
+            held.append(piece)
+            owners.append(k)
+            size += len(piece)
+            if size >= PIECE:
+                read()
+                held, owners, size = [], [], 0
+    if held:
+        read()
     return out
 
 
@@ -375,8 +393,8 @@ def scores(net: Network, texts: list[str | None]) -> np.ndarray:
     return np.where(np.isneginf(z), 0.0, p)
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic") -> Network:
-    got = sorted((r.doc_id, r.label, r.text or "") for r in labelled_sample(documents, labels, label, HELD_OUT, rows).collect())
+def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic", size: int = SAMPLE_BYTES) -> Network:
+    got = sorted((r.doc_id, r.label, r.text or "") for r in labelled_sample(documents, labels, label, HELD_OUT, rows, size).collect())
     share = labels.filter(F.col(label).isin(0, 1) & ~held_out("doc_id", HELD_OUT)).agg(F.avg(label)).first()[0]
     return fit([t for _, _, t in got], np.array([y for _, y, _ in got], np.int64), share)
 
