@@ -20,7 +20,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(load(spark, sf_dir, "conversations"))
+    # The table's first turns hardly repeat, so neighbouring ids are taken as pairs too.
+    return chat.preferences(load(spark, sf_dir, "conversations"), neighbours=True)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(load(spark, sf_dir, "pages")))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.resolved(read)
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
