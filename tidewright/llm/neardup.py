@@ -10,13 +10,14 @@ Pairs come in rounds. First every posting links its members to the most popular
 longest lists, as an original among its copies has; these pairs are verified on the full sets, which joins nearly all
 copies. Then the posting lists are merged again, skipping whatever is already joined. In lists that still hold several components and no
 more than `block` members, collisions are counted between members of different components, first over the K coordinates, where T are
-needed, then over L of which the K are the first; what reaches both is verified. Longer lists are not expanded: their
+needed, then over S of which the K are the first, a byte of each; what reaches both is verified. Longer lists are not expanded: their
 members are posted once more, under L coordinates, whose prefix only meets where texts agree in nearly as much as the similarity asks; so a passage that
-makes up half of a million texts leaves no list here. Stars and components follow as before, and what is still apart within a list is
-compared in blocks. No list is capped.
+makes up half of a million texts leaves no list here. Stars and components follow as before. What is still apart within a list is nearly similar
+to its whole group; it meets under P coordinates alone and is compared in blocks there. No list is capped.
 
 With K = 64 and T = 36, a pair at similarity 0.8 falls below T with a chance of about one in a hundred thousand, and
-less the more similar it is; with L = 256 the bound is 4.4 standard deviations down, at 176. No other pair is lost.
+less the more similar it is; with L = 256 the bound is 4.4 standard deviations down, at 176, with S = 1024 five, at 755; a pair shares none of
+P = 8 coordinates with a chance of three in a million. No other pair is lost.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing. Every row is a document
 of its own, also where a doc_id repeats. Rows with a null doc_id link like others and never name a component that holds an id; where
@@ -40,8 +41,10 @@ from tidewright.llm.shared import components, forget, ids_for_join, map_rows, ma
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a signature, and collisions that make a candidate.
 COORDINATES, MATCHES = 64, 36
-#: Coordinates of the long signature, which only candidates get.
-LONG = 256
+#: Coordinates of the long signature, of which only candidates get one, and bytes of their sketch.
+LONG, SKETCH = 256, 1024
+#: Coordinates under which members of long lists meet that are still apart after that, and members that are compared at once there.
+PROBES, WIDE = 8, 2048
 #: Members of a posting list that are compared at once; longer lists go in blocks, each pair of blocks a group.
 BLOCK = 512
 
@@ -87,14 +90,15 @@ def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return _mixed(low)
 
 
-def long_matches(percent: int) -> int:
-    """Collisions over the long signature that a pair at the similarity has at least, 4.4 standard deviations down."""
+def least_matches(coordinates: int, percent: int, deviations: float) -> int:
+    """Collisions over so many coordinates that a pair at the similarity has at least, but for a chance told in standard deviations."""
     p = percent / 100
-    return int(LONG * p - 4.4 * np.sqrt(LONG * p * (1 - p)))
+    return int(coordinates * p - deviations * np.sqrt(coordinates * p * (1 - p)))
 
 
-def _coordinates(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    return (signature(hashes, multipliers) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _upper(signed: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of coordinates."""
+    return (signed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def signatures(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
@@ -107,7 +111,7 @@ def signatures(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
             sets = [shingles(t, size) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [_digest(s) for s in sets],
-                "signature": [_coordinates(s, multipliers) if len(s) else None for s in sets],
+                "signature": [_upper(signature(s, multipliers)) if len(s) else None for s in sets],
             }
 
         return each
@@ -119,19 +123,21 @@ def _digest(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
-def shingle_sets(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """doc_id, digest of the set, the sorted set and its long signature, for rows that are candidates."""
+def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
+    """doc_id, digest of the set, the sorted set, its long signature and its sketch, for rows that are candidates."""
 
     def start():
-        multipliers = _constants(coordinates, 3)
+        multipliers = _constants(SKETCH, 3)
 
         def each(cols: dict) -> dict:
             sets = [shingles(t, size) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "digest": [_digest(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "long": [_coordinates(s, multipliers) for s in sets]}
+            signed = [signature(s, multipliers) for s in sets]
+            sketches = [(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in signed]
+            return {"doc_id": cols["doc_id"], "digest": [_digest(s) for s in sets], "hashes": [s.view(np.int64) for s in sets], "long": [_upper(x[:LONG]) for x in signed], "sketch": sketches}
 
         return each
 
-    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, digest binary, hashes array<bigint>, long array<int>", start)
+    return map_rows(documents, ["doc_id", "text"], "doc_id bigint, digest binary, hashes array<bigint>, long array<int>, sketch binary", start)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +186,7 @@ def _compared(part: DataFrame, lists: DataFrame, sets: DataFrame, sizes: DataFra
     spread = members.select("rep", "component", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("rep", "component", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     own = members.groupBy("rep").agg(F.collect_list("key").alias("keys"))
-    spread = spread.join(own.join(sizes, "rep").join(sets.select("rep", "long"), "rep"), "rep")
+    spread = spread.join(own.join(sizes, "rep").join(sets.select("rep", "sketch"), "rep"), "rep")
     return materialise(spread.groupBy("key", "i", "j").applyInArrow(_compare(coordinates, matches, percent), "a bigint, b bigint"), "near-more")
 
 
@@ -194,10 +200,10 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     sizes = prefix.select("rep", "n_shingles")
     # Texts stay where they are if the candidates' ids can be broadcast. A null id is an id like others.
     wanted = ids_for_join(materialise(prefix.select(F.col("doc").alias("near_doc")).distinct(), "near-wanted"))
-    sets = shingle_sets(documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("near_doc")), "left_semi"), size, max(LONG, coordinates))
+    sets = shingle_sets(documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("near_doc")), "left_semi"), size)
     named = prefix.select("rep", F.col("doc").alias("near_doc"), F.col("digest").alias("near_digest"))
     sets = sets.join(named, F.col("doc_id").eqNullSafe(F.col("near_doc")) & (F.col("digest") == F.col("near_digest")))
-    sets = materialise(sets.dropDuplicates(["rep"]).select("rep", "hashes", "long"), "near-sets")
+    sets = materialise(sets.dropDuplicates(["rep"]).select("rep", "hashes", "long", "sketch"), "near-sets")
 
     # First round: every list's members to its most popular.
     near = materialise(_verified(_alike(_stars(prefix), prefix, matches, percent), sets, percent), "near-links")
@@ -225,12 +231,18 @@ def _deeper(part: DataFrame, lists: DataFrame, links: DataFrame, sets: DataFrame
     """links and those among the members of long lists, which are posted under the long signature."""
     members = part.select("rep", F.explode("keys").alias("key")).join(lists, "key", "left_semi").select("rep").distinct()
     signed = materialise(members.join(sets.select("rep", F.slice("long", 1, LONG).alias("signature")), "rep"), "near-signed")
-    prefix = materialise(_prefixes(signed, long_matches(percent)), "near-deeper")
-    stars = materialise(_verified(_stars(prefix), sets, percent), "near-links")
-    links = links.union(stars)
+    prefix = materialise(_prefixes(signed, least_matches(LONG, percent, 4.4)), "near-deeper")
+    of = part.select(F.col("rep").alias("a"), F.col("component").alias("of_a")), part.select(F.col("rep").alias("b"), F.col("component").alias("of_b"))
+    stars = _stars(prefix).join(of[0], "a").join(of[1], "b").filter("of_a <> of_b").select("a", "b")
+    signed = signed.join(sizes, "rep")
+    stars = _verified(_alike(stars, signed, least_matches(LONG, percent, 4.4), percent), sets, percent)
+    links = links.union(materialise(stars, "near-links"))
     part, several = _apart(prefix.select("rep", "keys"), components(links))
-    late = _verified(_compared(part, several, sets, sizes, coordinates, matches, percent, block), sets, percent)
-    return links.union(late)
+    left = part.select("rep", F.explode("keys").alias("key")).join(several, "key", "left_semi").select("rep").distinct()
+    probes = F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda k: F.xxhash64(k, F.element_at("signature", -k)))
+    met = left.join(signed, "rep").select("rep", probes.alias("keys"))
+    part, several = _apart(met, part.select(F.col("rep").alias("node"), "component"))
+    return links.union(_verified(_compared(part, several, sets, sizes, coordinates, matches, percent, max(block, WIDE)), sets, percent))
 
 
 def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -246,12 +258,13 @@ def _compare(coordinates: int, matches: int, percent: int):
     """Pairs of different components within a block (i = j) or between two blocks that have enough collisions."""
     import pyarrow as pa
 
-    bound = long_matches(percent)
+    bound = least_matches(SKETCH, percent, 5)
 
     def run(table: pa.Table) -> pa.Table:
         rep, part, size = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         side = table.column("mine").to_numpy() == table.column("i").to_numpy()
-        sign = table.column("long").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        # The sketch begins with a byte of each of the K coordinates, so collisions of these are never undercounted.
+        sign = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
         keys, here = [set(k) for k in table.column("keys").to_pylist()], table.column("key")[0].as_py()
         left = np.flatnonzero(side)
         right = left if table.column("i")[0] == table.column("j")[0] else np.flatnonzero(~side)
@@ -259,7 +272,7 @@ def _compare(coordinates: int, matches: int, percent: int):
         for x in left:
             other = right[(part[right] != part[x]) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)]
             other = other[(sign[other, :coordinates] == sign[x, :coordinates]).sum(1) >= matches]
-            found = other[(sign[other, :LONG] == sign[x, :LONG]).sum(1) >= bound]
+            found = other[(sign[other] == sign[x]).sum(1) >= bound]
             if len(found):
                 # A pair that meets in several lists is told in the first of them only.
                 found = found[np.fromiter((min(keys[x] & keys[y]) == here for y in found), bool, len(found))]
