@@ -91,7 +91,7 @@ def doc_ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.transform(tx.lines("text"), lambda x: F.slice(F.split(x, r" \| "), 1, 6))
+    rows = F.transform(tx.lines("text"), lambda x: F.split(x, r" \| "))
     return _docs(spark, d).filter(F.col("text").contains(" | ")).select("doc_id", tx.markdown_table(rows).alias("table"))
 
 
@@ -174,7 +174,7 @@ select {select}, line_no::int as line_no, substr(regexp_replace(line, '^\\s+|\\s
 _PATH = "source || '/' || doc_id || '.' || lang"
 _RENDER = """'# doc ' || doc_id || chr(10) || chr(10) || concat_ws(chr(10), '- lang: ' || lang, '- source: ' || source, '- chars: ' || n_chars)
   || case when n_chars > 5000 then chr(10) || chr(10) || '> long text' else '' end || chr(10) || chr(10)
-  || case when length(text) > 1000 then substr(text, 1, 1000) || chr(10) || '[... ' || (length(text) - 1000) || ' more characters]' else text end"""
+  || text"""
 _ENDS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 SQL: dict[str, str] = {
@@ -206,7 +206,7 @@ with l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i fr
 select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text from f group by doc_id""",
     "doc_table": f"""
 with l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, {_lines('text')} as ls from documents where contains(text, ' | '))),
-r as (select doc_id, i, string_split(line, ' | ')[1:6] as c from l), k as (select *, row_number() over (partition by doc_id order by i) as n, max(len(c)) over (partition by doc_id) as w from r where len(list_filter(c, lambda x: x <> '')) > 0),
+r as (select doc_id, i, string_split(line, ' | ') as c from l), k as (select *, row_number() over (partition by doc_id order by i) as n, max(len(c)) over (partition by doc_id) as w from r where len(list_filter(c, lambda x: x <> '')) > 0),
 t as (select doc_id, n, w, '| ' || array_to_string(list_concat(list_transform(c, lambda x: replace(x, '|', '\\|')), list_transform(range(w - len(c)), lambda x: '')), ' | ') || ' |' as s from k),
 u as (select doc_id, n, s from t union all select doc_id, 1.5, '| ' || array_to_string(list_transform(range(w), lambda x: '---'), ' | ') || ' |' from t where n = 1)
 select doc_id, string_agg(s, chr(10) order by n) as "table" from u group by doc_id""",

@@ -243,7 +243,7 @@ with b as (select min(ts) + (max(ts) - min(ts)) // 4 as s, max(ts) - (max(ts) -
 select series, ts, value from p where ts >= s union all
 select series, ts, value from (select *, row_number() over (partition by series order by ts desc, event_id desc) as k from p where ts < s) where k = 1""",
     "series_constant_drop": f"""
-with c as (select series, ts, event_id, value from (select *, {_CH} as same, row_number() over w as k from {_PT} where series % 7 = 0 window w as (partition by series order by ts, event_id)) where k = 1 or not same)
+with c as (select series, ts, event_id, value from (select *, {_CH} as same, row_number() over w as k from {_PT} window w as (partition by series order by ts, event_id)) where k = 1 or not same)
 select * from c where series in (select series from c group by series having count(*) > 1)""",
     "first_last": f"select event_type, min(ts) as first_start, max(ts) as last_end, count(*) as n from {_EV} group by event_type",
     "row_stats": """
