@@ -14,6 +14,19 @@ from tidewright.sources.model import Parsed, ParseError, register
 from tidewright.sources.plain import TABLE_ROWS, ordered, table
 
 
+def _inflated(raw: bytes, step: int = 512) -> bytes:
+    """What a stream gives until it ends or breaks."""
+    engine, out = zlib.decompressobj(-15), []
+    try:
+        for at in range(0, len(raw), step):
+            out.append(engine.decompress(raw[at : at + step]))
+            if engine.eof:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 class Package:
     """Parts by name. Where the central directory is lost, local headers are followed and cut streams kept as far as they reach."""
 
@@ -37,11 +50,7 @@ class Package:
             following = data.find(b"PK\x03\x04", begin)
             raw = data[begin : begin + size if size else following if following > 0 else len(data)]
             if method == 8:
-                engine, raw = zlib.decompressobj(-15), raw
-                try:
-                    raw = engine.decompress(raw)
-                except zlib.error:
-                    raw = b""
+                raw = _inflated(raw)
             if method in (0, 8) and raw and not name.endswith("/"):
                 out[name] = raw
             at = following
