@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import re
+import json
 import sys
 
+from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tidewright.operators import corpus
@@ -24,15 +26,20 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-i", "--ignore-case", action="store_true")
     p.add_argument("-F", "--literal", action="store_true")
     p.add_argument("-n", "--max-hits", type=int, default=20)
+    p.add_argument("-m", "--max-files", type=int, default=0, help="hits of the first so many files")
+    p.add_argument("--files-only", action="store_true")
+    p.add_argument("--json", action="store_true", help="hits as JSON lines")
+    p.add_argument("--show-errors", action="store_true")
     p.add_argument("-o", "--out")
     a = p.parse_args(argv)
+    spark = session()
     if a.command == "search" and not a.literal:
+        # The pattern is proved by the engine that will run it.
         try:
-            re.compile(a.pattern or "")
-        except re.error as error:
-            print(f"bad pattern: {error}", file=sys.stderr)
+            spark._jvm.java.util.regex.Pattern.compile(a.pattern or "")
+        except Py4JJavaError as error:
+            print(f"bad pattern: {error.java_exception.getMessage()}", file=sys.stderr)
             return 2
-    spark = session()
     if a.command == "parsers":
         corpus.parser_table(files.parsers(spark)).show(200, truncate=False)
         return 0
@@ -42,10 +49,19 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     parsed = files.extract(listed)
     if a.command == "search":
+        if a.show_errors:
+            parsed = parsed.persist(StorageLevel.DISK_ONLY)
+            for row in parsed.filter("error is not null").select("path", "error").toLocalIterator():
+                print(f"{row.path}: {row.error}", file=sys.stderr)
         found = corpus.search(parsed.filter("error is null"), ["path"], "text", a.pattern or "", literal=a.literal, ignore_case=a.ignore_case, most=a.max_hits)
+        if a.max_files:
+            first = found.select("path").distinct().orderBy("path").limit(a.max_files)
+            found = found.join(F.broadcast(first), "path", "left_semi")
+        if a.files_only:
+            found = found.groupBy("path").agg(F.count("*").alias("hits"))
         n = 0
-        for row in found.orderBy("path", "line_no").toLocalIterator():
-            print(f"{row.path}:{row.line_no}: {row.text}")
+        for row in found.orderBy("path", *([] if a.files_only else ["line_no"])).toLocalIterator():
+            print(json.dumps(row.asDict(), ensure_ascii=False) if a.json else f"{row.path}: {row.hits}" if a.files_only else f"{row.path}:{row.line_no}: {row.text}")
             n += 1
         return 0 if n else 1
     if a.command == "dump":
@@ -53,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     facts = ["path", "kind", "fidelity", F.length("text").alias("chars"), "meta", "warnings", "error", *(["text"] if a.command == "extract" else [])]
     failed = 0
-    for row in parsed.select("path", "error", F.to_json(F.struct(*facts)).alias("json")).orderBy("path").toLocalIterator():
+    for row in parsed.select("path", "error", F.to_json(F.struct(*facts)).alias("json")).toLocalIterator():
         print(row.json)
         failed += row.error is not None
     return int(failed > 0)
