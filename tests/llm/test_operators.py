@@ -335,12 +335,29 @@ def test_long_lists_are_not_expanded(spark, monkeypatch):
     for k in range(2000):
         own = [f"u{rng.randrange(10**9)}" for _ in range(75)]
         texts += [common + " " + " ".join(own), common + " " + " ".join([*own[:-2], "other"])]
-    monkeypatch.setattr(neardup, "_compared", (lambda old: lambda part, lists, *a: (told.setdefault(len(told), sum(r.n for r in lists.collect())), old(part, lists, *a))[1])(neardup._compared))
+    monkeypatch.setattr(neardup, "_compared", (lambda old: lambda part, lists, *a, **k: (told.setdefault(len(told), sum(r.n for r in lists.collect())), old(part, lists, *a, **k))[1])(neardup._compared))
     got = neardup.near_duplicates(docs_of(spark, texts), size=4, block=64).collect()
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
     assert told[1] < len(texts)
 
 
+def test_long_lists_of_nearly_similar_texts(spark, monkeypatch):
+    """Copies around the similarity, all in the same long lists, which are compared in several blocks up to the full sets."""
+    monkeypatch.setattr(neardup, "WIDE", 32)
+    monkeypatch.setattr(neardup, "ENTRIES", 5000)
+    rng, texts = random.Random(3), []
+    for _ in range(260):
+        words = [f"b{k}" for k in range(300)]
+        for _ in range(rng.choice([2, 6, 8, 10])):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(neardup.shingles(t, 4).tolist()) for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = plain_components(range(len(texts)), linked)
+    assert 50 < len(set(want.values())) < 200
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), size=4, block=16).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs_of(spark, ["a b"]).limit(0)).count() == 0
     twice = docs_of(spark, ["a b c d e f", "g h i j k l"]).withColumn("doc_id", F.lit(7).cast("bigint"))

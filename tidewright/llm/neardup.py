@@ -13,7 +13,8 @@ more than `block` members, collisions are counted between members of different c
 needed, then over S of which the K are the first, a byte of each; what reaches both is verified. Longer lists are not expanded: their
 members are posted once more, under L coordinates, whose prefix only meets where texts agree in nearly as much as the similarity asks; so a passage that
 makes up half of a million texts leaves no list here. Stars and components follow as before. What is still apart within a list is nearly similar
-to its whole group; it meets under P coordinates alone and is compared in blocks there. No list is capped.
+to its whole group; it meets under P coordinates alone and is compared in blocks there, up to the full sets, so that only links leave a task. No
+list is capped.
 
 With K = 64 and T = 36, a pair at similarity 0.8 falls below T with a chance of about one in a hundred thousand, and
 less the more similar it is; with L = 256 the bound is 4.4 standard deviations down, at 176, with S = 1024 five, at 755; a pair shares none of
@@ -45,6 +46,8 @@ COORDINATES, MATCHES = 64, 36
 LONG, SKETCH = 256, 1024
 #: Coordinates under which members of long lists meet that are still apart after that, and members that are compared at once there.
 PROBES, WIDE = 8, 2048
+#: Shingles of a block whose full sets are compared; 16 MB of them.
+ENTRIES = 2_000_000
 #: Members of a posting list that are compared at once; longer lists go in blocks, each pair of blocks a group.
 BLOCK = 512
 
@@ -171,23 +174,27 @@ def _stars(prefix: DataFrame) -> DataFrame:
 
 
 def _apart(prefix: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """prefix with each document's component, and key, n of the lists that still hold several components."""
+    """prefix (rep, n_shingles, keys) with each document's component, and key, n, entries of the lists that still hold several components."""
     part = prefix.join(joined, prefix.rep == joined.node, "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
     part = materialise(part, "near-parts")
-    lists = part.select("component", F.explode("keys").alias("key")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    return part, materialise(lists.filter("low <> high").select("key", "n"), "near-several")
+    lists = part.select("component", "n_shingles", F.explode("keys").alias("key")).groupBy("key")
+    lists = lists.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("entries"))
+    return part, materialise(lists.filter("low <> high").select("key", "n", "entries"), "near-several")
 
 
-def _compared(part: DataFrame, lists: DataFrame, sets: DataFrame, sizes: DataFrame, coordinates: int, matches: int, percent: int, block: int) -> DataFrame:
-    """a < b of different components that meet in any of the lists and have enough collisions."""
-    lists = lists.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+def _compared(part: DataFrame, lists: DataFrame, sets: DataFrame, sizes: DataFrame, coordinates: int, matches: int, percent: int, block: int, exact: bool = False) -> DataFrame:
+    """a < b of different components that meet in any of the lists and have enough collisions; exact: and whose full sets have the similarity."""
+    blocks = F.ceil(F.col("n") / block)
+    if exact:
+        blocks = F.greatest(blocks, F.ceil(F.col("entries") / ENTRIES))
+    lists = lists.select("key", blocks.cast("int").alias("blocks"))
     members = part.select("rep", "component", F.explode("keys").alias("key")).join(lists, "key")
     members = members.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
     spread = members.select("rep", "component", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("rep", "component", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     own = members.groupBy("rep").agg(F.collect_list("key").alias("keys"))
-    spread = spread.join(own.join(sizes, "rep").join(sets.select("rep", "sketch"), "rep"), "rep")
-    return materialise(spread.groupBy("key", "i", "j").applyInArrow(_compare(coordinates, matches, percent), "a bigint, b bigint"), "near-more")
+    spread = spread.join(own.join(sizes, "rep").join(sets.select("rep", "sketch", *(["hashes"] if exact else [])), "rep"), "rep")
+    return materialise(spread.groupBy("key", "i", "j").applyInArrow(_compare(coordinates, matches, percent, exact), "a bigint, b bigint"), "near-more")
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
@@ -208,7 +215,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     # First round: every list's members to its most popular.
     near = materialise(_verified(_alike(_stars(prefix), prefix, matches, percent), sets, percent), "near-links")
     # Second round: lists that still hold several components.
-    part, several = _apart(prefix.select("rep", "keys"), components(near))
+    part, several = _apart(prefix.select("rep", "n_shingles", "keys"), components(near))
     short, long = several.filter(F.col("n") <= block), several.filter(F.col("n") > block)
     late = materialise(_verified(_compared(part, short, sets, sizes, coordinates, matches, percent, block), sets, percent), "near-late")
     links = near.union(late)
@@ -237,12 +244,12 @@ def _deeper(part: DataFrame, lists: DataFrame, links: DataFrame, sets: DataFrame
     signed = signed.join(sizes, "rep")
     stars = _verified(_alike(stars, signed, least_matches(LONG, percent, 4.4), percent), sets, percent)
     links = links.union(materialise(stars, "near-links"))
-    part, several = _apart(prefix.select("rep", "keys"), components(links))
+    part, several = _apart(prefix.select("rep", "keys").join(sizes, "rep"), components(links))
     left = part.select("rep", F.explode("keys").alias("key")).join(several, "key", "left_semi").select("rep").distinct()
     probes = F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda k: F.xxhash64(k, F.element_at("signature", -k)))
-    met = left.join(signed, "rep").select("rep", probes.alias("keys"))
+    met = left.join(signed, "rep").select("rep", "n_shingles", probes.alias("keys"))
     part, several = _apart(met, part.select(F.col("rep").alias("node"), "component"))
-    return links.union(_verified(_compared(part, several, sets, sizes, coordinates, matches, percent, max(block, WIDE)), sets, percent))
+    return links.union(_compared(part, several, sets, sizes, coordinates, matches, percent, max(block, WIDE), exact=True))
 
 
 def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -254,7 +261,7 @@ def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> D
     return pairs.join(left, "a").join(right, "b").filter(sized & (hits >= matches)).select("a", "b")
 
 
-def _compare(coordinates: int, matches: int, percent: int):
+def _compare(coordinates: int, matches: int, percent: int, exact: bool):
     """Pairs of different components within a block (i = j) or between two blocks that have enough collisions."""
     import pyarrow as pa
 
@@ -266,6 +273,15 @@ def _compare(coordinates: int, matches: int, percent: int):
         # The sketch begins with a byte of each of the K coordinates, so collisions of these are never undercounted.
         sign = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
         keys, here = [set(k) for k in table.column("keys").to_pylist()], table.column("key")[0].as_py()
+        if exact:
+            lists = table.column("hashes").combine_chunks()
+            cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [values[b:e] for b, e in zip(cuts, cuts[1:], strict=False)]
+
+        def similar(x: int, y: int) -> bool:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            return 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
+
         left = np.flatnonzero(side)
         right = left if table.column("i")[0] == table.column("j")[0] else np.flatnonzero(~side)
         a, b = [], []
@@ -276,6 +292,8 @@ def _compare(coordinates: int, matches: int, percent: int):
             if len(found):
                 # A pair that meets in several lists is told in the first of them only.
                 found = found[np.fromiter((min(keys[x] & keys[y]) == here for y in found), bool, len(found))]
+                if exact:
+                    found = found[np.fromiter((similar(x, y) for y in found), bool, len(found))]
                 a.append(np.minimum(rep[found], rep[x]))
                 b.append(np.maximum(rep[found], rep[x]))
         none = np.zeros(0, np.int64)
