@@ -28,3 +28,18 @@ def test_stages(spark):
     want = {r.doc_id: r.taken for r in mixing.mix(kept["decontamination"]).filter("taken > 0").collect()}
     assert {r.doc_id: r.taken for r in kept["mixing"].collect()} == want
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == set(want)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, clashing names; then tables without rows."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _seen_at string, _found int, row bigint, spans int"
+    rows = [(1, "a b c d e f g", "en", "s", 13, "x", 1, 1, 1)] * 2 + [(1, "other words here", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (None, "no id here", "en", "s", 1, None, 1, 1, 1), (2, "", "en", "t", 0, "", 0, 0, 0)]
+    for name, n in (("odd", 100), ("none", 0)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).limit(n).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id bigint, quality int, toxic int").limit(n).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, "nothing that occurs"), (1, None)], "item_id bigint, text string").withColumn("_found", F.lit(1)).limit(n).write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert bool(got) == bool(n) and all(0 < r.taken <= 2 * r.size for r in got)
