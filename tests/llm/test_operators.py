@@ -392,6 +392,17 @@ def test_components_of_shuffled_chains(spark):
 # 6
 
 
+def test_components_with_later_edges(spark):
+    """Edges added to known components give what all edges give at once, whether they join some, add nodes or do nothing."""
+    first, later = [(1, 2), (5, 6), (6, 7), (9, 12)], [(7, 2), (12, 20), (30, 31), (40, 40), (5, 7)]
+    known = shared.components(spark.createDataFrame(first, "a bigint, b bigint"))
+    for more in (later, [(2, 1), (5, 7)], []):
+        got = shared.components(spark.createDataFrame(more, "a bigint, b bigint"), known=known).collect()
+        edges = first + [e for e in more if e[0] != e[1]]
+        assert len(got) == len({r.node for r in got})
+        assert {r.node: r.component for r in got} == plain_components(sorted({x for e in edges for x in e}), edges)
+
+
 def test_mix_is_near_its_targets(spark):
     texts = [("w " * (k * 7 % 40)).strip() for k in range(900)] + [None, ""]
     docs = docs_of(spark, texts).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "hot").when(F.col("doc_id") % 5 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))))

@@ -215,13 +215,13 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     # First round: every list's members to its most popular.
     near = materialise(_verified(_alike(_stars(prefix), prefix, matches, percent), sets, percent), "near-links")
     # Second round: lists that still hold several components.
-    part, several = _apart(prefix.select("rep", "n_shingles", "keys"), components(near))
+    joined = components(near)
+    part, several = _apart(prefix.select("rep", "n_shingles", "keys"), joined)
     short, long = several.filter(F.col("n") <= block), several.filter(F.col("n") > block)
     late = materialise(_verified(_compared(part, short, sets, sizes, coordinates, matches, percent, block), sets, percent), "near-late")
-    links = near.union(late)
+    final = components(late, known=joined)
     if long.limit(1).count():
-        links = materialise(_deeper(part, long, links, sets, sizes, coordinates, matches, percent, block), "near-deep")
-    final = components(links)
+        final = _deeper(part, long, final, sets, sizes, coordinates, matches, percent, block)
 
     # Every row: its class, the component of that, and the component's smallest doc_id.
     labelled = materialise(classes.join(final, classes.rep == final.node, "left").select("digest", "n_shingles", "doc", F.coalesce("component", "rep").alias("component")), "near-classed")
@@ -234,8 +234,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _deeper(part: DataFrame, lists: DataFrame, links: DataFrame, sets: DataFrame, sizes: DataFrame, coordinates: int, matches: int, percent: int, block: int) -> DataFrame:
-    """links and those among the members of long lists, which are posted under the long signature."""
+def _deeper(part: DataFrame, lists: DataFrame, joined: DataFrame, sets: DataFrame, sizes: DataFrame, coordinates: int, matches: int, percent: int, block: int) -> DataFrame:
+    """joined with the links among the members of long lists, which are posted under the long signature."""
     members = part.select("rep", F.explode("keys").alias("key")).join(lists, "key", "left_semi").select("rep").distinct()
     signed = materialise(members.join(sets.select("rep", F.slice("long", 1, LONG).alias("signature")), "rep"), "near-signed")
     prefix = materialise(_prefixes(signed, least_matches(LONG, percent, 4.4)), "near-deeper")
@@ -243,13 +243,13 @@ def _deeper(part: DataFrame, lists: DataFrame, links: DataFrame, sets: DataFrame
     stars = _stars(prefix).join(of[0], "a").join(of[1], "b").filter("of_a <> of_b").select("a", "b")
     signed = signed.join(sizes, "rep")
     stars = _verified(_alike(stars, signed, least_matches(LONG, percent, 4.4), percent), sets, percent)
-    links = links.union(materialise(stars, "near-links"))
-    part, several = _apart(prefix.select("rep", "keys").join(sizes, "rep"), components(links))
+    joined = components(stars, known=joined)
+    part, several = _apart(prefix.select("rep", "keys").join(sizes, "rep"), joined)
     left = part.select("rep", F.explode("keys").alias("key")).join(several, "key", "left_semi").select("rep").distinct()
     probes = F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda k: F.xxhash64(k, F.element_at("signature", -k)))
     met = left.join(signed, "rep").select("rep", "n_shingles", probes.alias("keys"))
     part, several = _apart(met, part.select(F.col("rep").alias("node"), "component"))
-    return links.union(_compared(part, several, sets, sizes, coordinates, matches, percent, max(block, WIDE), exact=True))
+    return components(_compared(part, several, sets, sizes, coordinates, matches, percent, max(block, WIDE), exact=True), known=joined)
 
 
 def _alike(pairs: DataFrame, prefix: DataFrame, matches: int, percent: int) -> DataFrame:

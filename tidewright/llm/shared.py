@@ -141,22 +141,38 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     }[kind.simpleString()]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest id reachable over undirected edges; only nodes with an edge appear.
 
+    known: the components of earlier edges, of the same form, to which these are added; only edges between different ones take part
+    in the rounds, so a few late edges cost as much as they are.
+
     Each round takes the smallest label of the neighbours, gives it to the node that the old label names as well, and then
     takes the label of the label; so whole trees hook onto lower ones and long chains shrink in any order of their ids.
     Labels only fall, and the rounds end when none does.
     The minima combine before the shuffle, and the labels are a written table, so Spark can split a node with
     very many edges in either join. Nothing but one count of changes comes to the driver.
     """
-    both = materialise(
-        edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-        .union(edges.select(F.col(b), F.col(a)))
-        .filter("src <> dst")
-        .distinct(),
-        "edges",
-    )
+    edges = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    if known is not None:
+        for end in ("src", "dst"):
+            of = known.select(F.col("node").alias(end), F.col("component").alias("held"))
+            edges = edges.join(of, end, "left").withColumn(end, F.coalesce("held", end)).drop("held")
+    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src")))
+    both = materialise(both.filter("src <> dst").distinct(), "edges")
+    if known is not None:
+        if both.limit(1).count() == 0:
+            forget(both)
+            return known
+        late = _settled(both)
+        of = late.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        raised = known.join(of, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        return materialise(raised.union(late.join(known, "node", "left_anti").select("node", "component")), "labels")
+    return _settled(both)
+
+
+def _settled(both: DataFrame) -> DataFrame:
+    """The components of a written table of edges in both directions, which is deleted."""
     labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")), "labels")
     held = labels
     while True:
