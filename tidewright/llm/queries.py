@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, embeddings, licenses, mixing, neardup, quality, tokens, toxicity, warc
+from tidewright.llm import chat, decontaminate, embeddings, fim, licenses, mixing, neardup, quality, tokens, toxicity, warc
 from tidewright.session import load
 
 
@@ -57,9 +57,16 @@ def op10_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return tokens.token_counts(load(spark, sf_dir, "documents"), path)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality, op3_preferences, op4_near_duplicates, op5_toxicity, op6_mixing, op7_near_vectors, op8_licenses, op9_warc, op10_tokens)
+    for f in (
+        op1_decontamination, op2_quality, op3_preferences, op4_near_duplicates, op5_toxicity, op6_mixing, op7_near_vectors, op8_licenses, op9_warc, op10_tokens,
+        op11_fill_in_middle,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -128,4 +135,13 @@ f as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label
 r(vec_id, far) as (select distinct x, x from f union select r.vec_id, f.y from r join f on f.x = r.far),
 m as (select vec_id, min(far) as low from r group by vec_id), n as (select x as vec_id, count(*) as n from f group by x)
 select vec_id, coalesce(n, 0) as n_links, coalesce(low, vec_id) as component_id, coalesce(low, vec_id) = vec_id as kept from embeddings left join n using (vec_id) left join m using (vec_id)""",
+    "op11_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u from documents),
+e as (select *, len(u) as n, [('0x' || substr(h, 1 + 8 * k, 8))::bigint for k in [0, 1, 2, 3]] as r from d),
+f as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 100 then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form from e),
+g as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from f)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256 from g""",
 }
