@@ -70,7 +70,7 @@ i as (select o_orderkey as pos, o_custkey % 50 as vid, o_orderkey // 30 as block
 f as (select block, vid, dense_rank() over (partition by block order by min(pos)) - 1 as local from i group by block, vid),
 b as (select block, coalesce(sum(count(*)) over (order by block rows between unbounded preceding and 1 preceding), 0)::bigint as base from f group by block)"""
 _TRI = """
-t as (select p_partkey as tri, (p_partkey * 37 + 5) % 1024 / 1024.0::double as x0, (p_partkey * 91 + 11) % 1024 / 1024.0::double as y0 from part where p_partkey <= 400),
+t as (select p_partkey as tri, (p_partkey * 37 + 5) % 1024 / 1024.0::double as x0, (p_partkey * 91 + 11) % 1024 / 1024.0::double as y0 from part),
 u as (select *, x0 + (tri * 7 % 61 - 30) / 1024.0::double as x1, y0 + (tri * 13 % 61 - 30) / 1024.0::double as y1, x0 + (tri * 17 % 61 - 30) / 1024.0::double as x2, y0 + (tri * 29 % 61 - 30) / 1024.0::double as y2 from t),
 c as (select tri, x0, y0, x1, y1, x2, y2, greatest(ceil((least(x0, x1, x2) - 1e-9) * 127), 0)::int as xmin, least(floor((greatest(x0, x1, x2) + 1e-9) * 127), 127)::int as xmax,
   greatest(ceil((1 - greatest(y0, y1, y2) - 1e-9) * 127), 0)::int as ymin, least(floor((1 - least(y0, y1, y2) + 1e-9) * 127), 127)::int as ymax from u),
