@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, embeddings, fim, licenses, mixing, neardup, quality, tokens, toxicity, warc
+from tidewright.llm import chat, decontaminate, embeddings, fim, licenses, lm, mixing, neardup, quality, tokens, toxicity, warc
 from tidewright.session import load
 
 
@@ -61,11 +61,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(load(spark, sf_dir, "documents")))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sums of logarithms in another order differ in their last digits.
+    return lm.lm_scores(load(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality, op3_preferences, op4_near_duplicates, op5_toxicity, op6_mixing, op7_near_vectors, op8_licenses, op9_warc, op10_tokens,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_lm_scores,
     )
 }
 
@@ -144,4 +149,16 @@ g as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], ''
 select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
   sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
   sha256(text) as restored_sha256 from g""",
+    "op12_lm_scores": r"""
+with d as (select row_number() over () as row, doc_id, coalesce(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)), 4294967295) as c,
+  list_concat(coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []), [chr(10)]) as t from documents),
+e as (select row, doc_id, doc_id is not null and xor(c, 4294967295) % 7 = 2 as held_out, t from d),
+p as (select row, doc_id, held_out, unnest(t) as w, unnest(list_concat([' '], t)[1:len(t)]) as h from e),
+u as (select w, count(*) as c from p where not held_out group by w), b as (select h, w, count(*) as c from p where not held_out group by h, w), f as (select h, count(*) as c from p where not held_out group by h),
+n as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from u),
+s as (select row, doc_id, held_out, coalesce(u.c, 0) as c, (coalesce(u.c, 0) + 1)::double / (n + v + 1) as p1, coalesce(b.c, 0) as c2, coalesce(f.c, 0) as ch
+  from p cross join n left join u using (w) left join b using (h, w) left join f using (h))
+select doc_id, held_out, count(*) as n_tokens, count(*) filter (c > 0) as n_known, (select n from n) as train_tokens, round(sum(log10(p1)), 6) as base_score,
+  round(sum(log10((c2 + 2000.0::double * p1) / (ch + 2000.0::double))), 6) as score from s group by row, doc_id, held_out""",
 }
