@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, embeddings, fim, licenses, lm, mixing, neardup, quality, tokens, toxicity, warc
+from tidewright.llm import chat, decontaminate, embeddings, fim, licenses, lm, mixing, neardup, quality, repair, tokens, toxicity, warc
 from tidewright.session import load
 
 
@@ -66,11 +66,15 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(load(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_audit(repair.damaged(load(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality, op3_preferences, op4_near_duplicates, op5_toxicity, op6_mixing, op7_near_vectors, op8_licenses, op9_warc, op10_tokens,
-        op11_fill_in_middle, op12_lm_scores,
+        op11_fill_in_middle, op12_lm_scores, op13_conversation_repair,
     )
 }
 
@@ -161,4 +165,38 @@ s as (select row, doc_id, held_out, coalesce(u.c, 0) as c, (coalesce(u.c, 0) + 1
   from p cross join n left join u using (w) left join b using (h, w) left join f using (h))
 select doc_id, held_out, count(*) as n_tokens, count(*) filter (c > 0) as n_known, (select n from n) as train_tokens, round(sum(log10(p1)), 6) as base_score,
   round(sum(log10((c2 + 2000.0::double * p1) / (ch + 2000.0::double))), 6) as score from s group by row, doc_id, held_out""",
+    "op13_conversation_repair": r"""
+with recursive q as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)), 4294967295) % 20 as fate from conversations),
+d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when fate = 3 then [1, 2] else [1] end) as copy from q where fate <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i from d),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault,
+  lag(role[1]) over (partition by conv_id order by i) as prior from o),
+g as (select conv_id, list({'role': role, 'text': text, 'fault': fault} order by i) as rows, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+  count(*) filter (prior is not null and prior || role[1] not in ('su', 'ua', 'au')) as illegal, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps from f group by conv_id),
+w(conv_id, i, s) as (select conv_id, 0, [{'c': 0, 'p': '', 'o': ''}, null, null, null] from g
+  union all
+  select w.conv_id, i + 1, [
+    list_min(list_filter([d0, case when keep and n = 's' then null end], lambda x: x is not null)),
+    list_min(list_filter([d1, case when keep and n = 's' and l0 is not null then {'c': l0.c + kc, 'p': l0.p || 'K', 'o': l0.o || 's'} end], lambda x: x is not null)),
+    list_min(list_filter([d2, case when stay and lu is not null then {'c': lu.c + case when keep and n = 'u' then kc else 3 + kc end, 'p': lu.p || case when keep and n = 'u' then 'K' else 'R' end, 'o': lu.o || 'u'} end], lambda x: x is not null)),
+    list_min(list_filter([d3, case when stay and l2 is not null then {'c': l2.c + case when n = 'a' then kc else 3 + kc end, 'p': l2.p || case when n = 'a' then 'K' else 'R' end, 'o': l2.o || 'a'} end], lambda x: x is not null))]
+  from (select *, case when l0 is not null then {'c': l0.c + 4, 'p': l0.p || 'D', 'o': l0.o} end as d0, case when l1 is not null then {'c': l1.c + 4, 'p': l1.p || 'D', 'o': l1.o} end as d1,
+      case when l2 is not null then {'c': l2.c + 4, 'p': l2.p || 'D', 'o': l2.o} end as d2, case when l3 is not null then {'c': l3.c + 4, 'p': l3.p || 'D', 'o': l3.o} end as d3,
+      list_min(list_filter([l0, l1, l3], lambda x: x is not null)) as lu
+    from (select *, list_min(list_filter([s[4], case when l2 is not null then {'c': l2.c + 3, 'p': l2.p || 'I', 'o': l2.o || 'a'} end], lambda x: x is not null)) as l3
+      from (select w.conv_id, w.i, s, s[1] as l0, s[2] as l1, g.rows[w.i + 1].role[1] as n, g.rows[w.i + 1].fault in ('', 't') as stay, g.rows[w.i + 1].fault in ('', 't') as keep, case when g.rows[w.i + 1].fault = 't' then 3 else 0 end as kc,
+          list_min(list_filter([s[3], case when s[1] is not null then {'c': s[1].c + 3, 'p': s[1].p || 'I', 'o': s[1].o || 'u'} end, case when s[2] is not null then {'c': s[2].c + 3, 'p': s[2].p || 'I', 'o': s[2].o || 'u'} end,
+            case when s[4] is not null then {'c': s[4].c + 3, 'p': s[4].p || 'I', 'o': s[4].o || 'u'} end], lambda x: x is not null)) as l2
+        from w join g on w.conv_id is not distinct from g.conv_id where w.i < len(g.rows)) x) y) w),
+e as (select g.*, list_min(list_filter([s[1], s[4], case when l2 is not null then {'c': l2.c + 3, 'p': l2.p || 'I', 'o': l2.o || 'a'} end], lambda x: x is not null)) as best
+  from (select w.conv_id, w.i, s, list_min(list_filter([s[3], case when s[2] is not null then {'c': s[2].c + 3, 'p': s[2].p || 'I', 'o': s[2].o || 'u'} end], lambda x: x is not null)) as l2 from w) v
+  join g on v.conv_id is not distinct from g.conv_id and v.i = len(g.rows)),
+p as (select conv_id, rows, best, unnest(range(1, len(best.p) + 1)) as j from e),
+t as (select conv_id, j, best.p[j] as edit, best.o[(len(replace(best.p[1:j], 'D', '')))::int] as given, rows[len(replace(best.p[1:j], 'I', ''))] as row from p),
+r as (select conv_id, string_agg(case edit when 'K' then row.role || ':' || row.text when 'R' then case given when 'u' then 'user' else 'assistant' end || ':' || row.text else case given when 'u' then 'user' else 'assistant' end || ':' end, chr(10) order by j) as said
+  from t where edit <> 'D' group by conv_id)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(best.c, 0)::bigint as cost, coalesce(best.p, '') as audit, sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join e on a.conv_id is not distinct from e.conv_id left join r on a.conv_id is not distinct from r.conv_id""",
 }
