@@ -23,6 +23,7 @@ aside). An empty table gives no rows, and with no row to learn from every token
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ HELD_OUT = (7, 2)
 #: Tokens of the longest n-gram, and the weight of the shorter context's distribution in counts.
 ORDER, PRIOR = 2, 2000.0
 #: Characters of text in a block, and n-grams in a bucket, about.
-BLOCK, BUCKET = 8 << 20, 1 << 20
+BLOCK, BUCKET = 4 << 20, 1 << 20
 
 # Numbers of the two tokens that are no words, and their hashes.
 START, END = 0, 1
@@ -209,7 +210,7 @@ class Automaton:
         self.base = (counts[0] + 1.0) / (n_tokens + n_words + 1.0)
         # The state of n-gram g of level n is begin[n] + g; those of the longest are no states.
         begin = np.cumsum([1] + [len(f.key) for f in found[: order - 1]])
-        self.fail, self.back = [0] * int(begin[-1]), [0.0] * int(begin[-1])
+        fail, back = np.zeros(begin[-1], np.int64), np.zeros(begin[-1])
         arcs, weights, targets, p = [], [], [], self.base
         for n, (level, count) in enumerate(zip(found, counts, strict=True)):
             if n:
@@ -218,15 +219,16 @@ class Automaton:
             source = begin[n - 1] + level.before[known] if n else 0
             if n < order - 1:
                 target = np.where(count[known] > 0, begin[n] + known, 0)
-                self.fail[begin[n] : begin[n + 1]] = (begin[n - 1] + level.after if n else np.zeros(self.width, np.int64)).tolist()
-                self.back[begin[n] : begin[n + 1]] = np.log10(prior / (count + prior)).tolist()
+                fail[begin[n] : begin[n + 1]] = begin[n - 1] + level.after if n else 0
+                back[begin[n] : begin[n + 1]] = np.log10(prior / (count + prior))
             else:
                 target = begin[n - 1] + level.after[known] if n else np.zeros(self.width, np.int64)
             arcs.append(source * self.width + level.last[known])
             weights.append(np.log10(p[known]))
             targets.append(target)
+        self.fail, self.back = array("q", fail.tobytes()), array("d", back.tobytes())
         self.arcs = {a: k for k, a in enumerate(np.concatenate(arcs).tolist())}
-        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.weights, self.targets = array("d", np.concatenate(weights).tobytes()), array("q", np.concatenate(targets).tobytes())
 
     def walk(self, context: list[int], tokens: list[int]) -> float:
         """The sum of weights along the tokens from the state that the context leads to."""
