@@ -43,6 +43,8 @@ HELD_OUT = (7, 2)
 ORDER, PRIOR = 2, 2000.0
 #: Characters of text in a block, and n-grams in a bucket, about.
 BLOCK, BUCKET = 4 << 20, 1 << 20
+#: Tasks that buckets or blocks are dealt to, at most; beyond that a task takes several, one after the other.
+PARTS = 20_000
 
 # Numbers of the two tokens that are no words, and their hashes.
 START, END = 0, 1
@@ -54,13 +56,22 @@ SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Whole numbers as bytes of the least width, which the first byte tells."""
+    """Whole numbers as bytes of the least width, which the first byte tells: all lowest bytes first, then the next. Spark's compression shortens planes that hardly vary."""
     kind = np.min_scalar_type(int(a.max(initial=0)))
-    return bytes([kind.itemsize]) + a.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(kind)
+
+
+def _packed_keys(sorted_keys: np.ndarray) -> bytes:
+    return _packed(np.diff(sorted_keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
 def _pieces(text: str, block: int, context: int) -> Iterator[tuple[list[str], str]]:
@@ -122,7 +133,7 @@ def _block(number: int, held: list[tuple], context: int) -> pa.RecordBatch:
     skip = np.array([0 if x[5] else len(x[3]) + int(o) for x, o in zip(held, opens, strict=True)])
     free = np.array([not x[2] for x in held])
     n_tokens = size - np.maximum(skip, opens)
-    columns = [[number], [[x[0] for x in held]], [[x[1] for x in held]], [[x[2] for x in held]], [size.tolist()], [skip.tolist()], [tokens.tobytes()], [words.tobytes()], [int(n_tokens.sum())], [int(n_tokens[free].sum())]]
+    columns = [[number], [[x[0] for x in held]], [[x[1] for x in held]], [[x[2] for x in held]], [size.tolist()], [skip.tolist()], [_packed(tokens)], [words.tobytes()], [int(n_tokens.sum())], [int(n_tokens[free].sum())]]
     schema = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -138,15 +149,14 @@ class Level:
     own: np.ndarray
 
     def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams by bucket: their places, the buckets that occur and where each begins."""
-        bucket = (self.key % np.uint64(buckets)).astype(np.int64)
-        place = np.argsort(bucket, kind="stable")
-        found, start = np.unique(bucket[place], return_index=True)
+        """The n-grams in the order of their hashes, which buckets share in ranges: their places, the buckets that occur and where each begins."""
+        place = np.argsort(self.key, kind="stable")
+        found, start = np.unique((self.key[place] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
         return place, found, start
 
 
 def levels(block: dict, order: int) -> list[Level]:
-    tokens = np.frombuffer(block["tokens"], np.uint32).astype(np.int64)
+    tokens = _unpacked(block["tokens"])
     words = np.frombuffer(block["words"], np.uint64)
     size, skip = np.array(block["size"], np.int64), np.array(block["skip"], np.int64)
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
@@ -179,12 +189,12 @@ def counted(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                         continue
                     cut = [np.split(a[place], start[1:]) for a in (level.key, level.own)]
                     yield pa.RecordBatch.from_pydict({
-                        "block": [block["block"]] * len(found), "bucket": n * buckets + found,
-                        "keys": [a.tobytes() for a in cut[0]], "counts": [_packed(a) for a in cut[1]],
+                        "block": [block["block"]] * len(found), "bucket": n * buckets + found.astype(np.int64),
+                        "keys": [_packed_keys(a) for a in cut[0]], "counts": [_packed(a) for a in cut[1]],
                     })
 
     def add(sent: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in sent["keys"].to_pylist()]
+        keys = [_unpacked_keys(k) for k in sent["keys"].to_pylist()]
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, number, np.concatenate([_unpacked(c) for c in sent["counts"].to_pylist()]))
@@ -199,7 +209,7 @@ def counted(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         })
 
     sent = blocks.select("block", "held", "size", "skip", "tokens", "words").mapInArrow(send, "block bigint, bucket bigint, keys binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block bigint, bucket bigint, counts binary, known bigint")
+    return sent.repartition(min(order * buckets, PARTS), "bucket").groupBy("bucket").applyInArrow(add, "block bigint, bucket bigint, counts binary, known bigint")
 
 
 class Automaton:
@@ -247,7 +257,7 @@ class Automaton:
         return total
 
 
-def scored(blocks: DataFrame, counts: DataFrame, order: int, buckets: int, n_tokens: int, n_words: int, prior: float) -> DataFrame:
+def scored(blocks: DataFrame, counts: DataFrame, order: int, buckets: int, n_tokens: int, n_words: int, prior: float, parts: int) -> DataFrame:
     """SCORED per piece of a text: every block meets the answers that it got."""
 
     def score(blocks_of: pa.Table, answers: pa.Table) -> pa.Table:
@@ -260,7 +270,7 @@ def scored(blocks: DataFrame, counts: DataFrame, order: int, buckets: int, n_tok
             total[place] = np.concatenate([np.zeros(0, np.int64), *[_unpacked(got[n * buckets + b]) for b in held.tolist()]])
             totals.append(total)
         machine = Automaton(found, totals, n_tokens, n_words, prior)
-        tokens = np.frombuffer(block["tokens"], np.uint32)
+        tokens = _unpacked(block["tokens"])
         base, known = np.log10(machine.base), totals[0] > 0
         end, rows = np.cumsum(block["size"]), []
         for k, (stop, size, skip) in enumerate(zip(end.tolist(), block["size"], block["skip"], strict=True)):
@@ -269,20 +279,22 @@ def scored(blocks: DataFrame, counts: DataFrame, order: int, buckets: int, n_tok
             rows.append((block["row"][k], block["doc_id"][k], block["held"][k], len(own), int(known[own].sum()), float(base[own].sum()), machine.walk(before.tolist(), own.tolist())))
         names = [c.split()[0] for c in SCORED.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        del found, totals, machine
+        pa.default_memory_pool().release_unused()
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
-    sides = blocks.groupBy("block"), counts.filter("block is not null").drop("known").groupBy("block")
+    sides = [side.repartition(parts, "block").groupBy("block") for side in (blocks, counts.filter("block is not null").drop("known"))]
     return sides[0].cogroup(sides[1]).applyInArrow(score, SCORED)
 
 
 def lm_scores(documents: DataFrame, fold: tuple[int, int] = HELD_OUT, order: int = ORDER, prior: float = PRIOR, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     blocks = materialise(cut_blocks(documents, fold, order, block), "lm-blocks")
-    all_of = blocks.agg(F.sum("n_tokens").alias("all"), F.sum("train_tokens").alias("train")).first()
+    all_of = blocks.agg(F.sum("n_tokens").alias("all"), F.sum("train_tokens").alias("train"), F.count("*").alias("blocks")).first()
     buckets = -(-max(all_of["all"] or 0, 1) // bucket)
     counts = materialise(counted(blocks, order, buckets), "lm-counts")
     n_tokens, n_words = all_of["train"] or 0, counts.agg(F.sum("known")).first()[0] or 0
-    pieces = scored(blocks.drop("n_tokens", "train_tokens"), counts, order, buckets, n_tokens, n_words, prior)
+    pieces = scored(blocks.drop("n_tokens", "train_tokens"), counts, order, buckets, n_tokens, n_words, prior, min(max(all_of["blocks"], 1), PARTS))
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     done = materialise(pieces.groupBy("row", "doc_id", "held_out").agg(*sums), "lm-scores")
     forget(blocks, counts)
