@@ -678,3 +678,16 @@ def test_query(spark, name):
     assert cols == sorted(rel.columns)
     at = [rel.columns.index(c) for c in cols]
     assert sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == sorted(repr([plain(r[k]) for k in at]) for r in rel.fetchall())
+
+
+def test_sample_within_bytes_prefers_no_length(spark):
+    """A quarter of the rows are long; with room for a part of all, about a quarter of the sample is long, and both labels give equally many rows."""
+    rows = [(k, ("l" * 4000 if k % 8 < 2 else "s") + str(k)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, toxic int")
+    got = quality.labelled_sample(docs, labels, "toxic", (5, 0), 3000, 1_000_000).collect()
+    assert 600 < len(got) < 1300 and 0.2 < sum(len(r.text) > 1000 for r in got) / len(got) < 0.3
+    assert abs(sum(r.label for r in got) * 2 - len(got)) <= 1
+    huge = spark.createDataFrame([(1, "a" * (3 << 20)), (2, "b")], "doc_id bigint, text string")
+    both = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert sorted(len(r.text) for r in quality.labelled_sample(huge, both, "toxic", (5, 0), 10, 16 << 20).collect()) == [1, 1 << 20]

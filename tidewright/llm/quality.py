@@ -12,6 +12,7 @@ hash. Memory follows the longest text, at some ten times its size. Other columns
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from tidewright.llm.shared import append, map_rows, materialise, unused
 
 #: Labelled rows to learn from, at most; the rows with the smallest hashes are taken.
 SAMPLE_ROWS = 6_000
+#: Characters that one row may bring where a sample is bounded by bytes.
+LONG_ROW = 1 << 20
 #: A document is good from this score on.
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
@@ -104,20 +107,26 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, fold: t
     """doc_id, text, label of at most `rows` labelled rows outside the held-out fold, half of each label where there are enough.
 
     The ids are taken by smallest hash, so the same labels give the same sample; with that bound they are broadcast. Documents that
-    repeat an id count against the same bound, equal ones once. size: bytes of all texts together; a row that doesn't fit any more is left out.
+    repeat an id count against the same bound, equal ones once. size: bytes of all texts together, half for each label. Both labels stop at the same rank, the first at which
+    a next row doesn't fit, so no length is preferred; a text of more than LONG_ROW or an eighth of size gives so many characters from a place that its hash draws, so one row fits always.
     """
     told = labelled_rows(labels, label, fold)
     place = lambda c: (F.xxhash64(c), c)
     half = lambda k: told.filter(F.col("label") == k).orderBy(*place("labelled")).limit(rows // 2)
     met = documents.select("doc_id", "text").join(F.broadcast(half(0).union(half(1))), F.col("doc_id") == F.col("labelled"))
-    met = materialise(met.select("doc_id", "label", F.xxhash64("text").alias("of"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "text"), "labelled")
-    picks = []
-    for k in (0, 1):
-        room = None if size is None else size // 2
-        for r in met.filter(F.col("label") == k).select("doc_id", "of", "bytes").distinct().orderBy(*place("doc_id"), "of").limit(rows // 2).collect():
-            if room is None or r.bytes <= room:
-                picks.append((r.doc_id, r.of, k))
-                room = None if room is None else room - r.bytes
+    met = met.select("doc_id", "label", F.xxhash64("text").alias("of"), "text")
+    if size is not None:
+        most = min(LONG_ROW, size // 8)
+        beyond = F.length("text") - most
+        met = met.withColumn("text", F.when(beyond > 0, F.substring("text", F.pmod("of", F.greatest(beyond, F.lit(1))).cast("int") + 1, F.lit(most))).otherwise(F.col("text")))
+    met = materialise(met.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "labelled")
+    ranked = {k: met.filter(F.col("label") == k).select("doc_id", "of", "bytes").distinct().orderBy(*place("doc_id"), "of").limit(rows // 2).collect() for k in (0, 1)}
+    picks, taken = [], [0, 0]
+    for pair in itertools.zip_longest(ranked[0], ranked[1]):
+        taken = [n + (r.bytes if r else 0) for n, r in zip(taken, pair, strict=True)]
+        if size is not None and max(taken) > size // 2:
+            break
+        picks += [(r.doc_id, r.of, k) for k, r in enumerate(pair) if r]
     picks = documents.sparkSession.createDataFrame(picks, "doc_id bigint, of bigint, label int")
     same = [F.col(f"m.{c}") == F.col(f"p.{c}") for c in ("doc_id", "of", "label")]
     return met.alias("m").join(F.broadcast(picks.alias("p")), same, "left_semi").dropDuplicates(["doc_id", "of", "label"]).select("doc_id", "text", "label")
