@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows that DuckDB gives on the smallest tables."""
+"""Every query with SQL gives the rows that DuckDB gives, on the smallest tables and on larger ones."""
 
 import os
 
@@ -8,7 +8,7 @@ import pytest
 
 from tidewright.plans import registry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
 
 def plain(v):
@@ -25,19 +25,22 @@ def plain(v):
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for f in os.listdir(FOLDER):
-        con.sql(f"create view {f.split('.')[0]} as select * from '{FOLDER}/{f}'")
-    return con
+    out = {}
+    for folder in FOLDERS:
+        out[folder] = duckdb.connect()
+        for f in os.listdir(folder):
+            out[folder].sql(f"create view {f.split('.')[0]} as select * from '{folder}/{f}'")
+    return out
 
 
+@pytest.mark.parametrize("folder", FOLDERS)
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(spark, duck, name):
-    df = registry.QUERIES[name](spark, FOLDER)
+def test_query(spark, duck, name, folder):
+    df = registry.QUERIES[name](spark, folder)
     rows = df.collect()
     if name not in registry.SQL:
         return
-    rel = duck.sql(registry.SQL[name])
+    rel = duck[folder].sql(registry.SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
     at = [rel.columns.index(c) for c in cols]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import documents, events, files, geometry, tracks
+from tidewright.plans import documents, events, files, geometry, merging, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (documents, events, files, geometry, tracks):
+for part in (documents, events, files, geometry, merging, tracks):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
