@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +82,70 @@ def _edge(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
-def coverage(tris: DataFrame, width: int, height: int) -> DataFrame:
+def _edges(x: Column, y: Column) -> list[Column]:
+    """The three edge functions of a triangle's columns at a point; their signs agree inside, whichever way round it is."""
+    c = {k: F.col(k).cast("double") for k in ("x0", "y0", "x1", "y1", "x2", "y2")}
+    return [_edge(c[f"x{i}"], c[f"y{i}"], c[f"x{j}"], c[f"y{j}"], x, y) for i, j in ((0, 1), (1, 2), (2, 0))]
+
+
+def _all(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+#: Sides of the tiles that a triangle descends through, each a multiple of the next.
+SIDES = (256, 32, 8)
+#: Below this an edge function counts as zero when a whole tile is judged; its pixels are then judged one by one.
+NEAR = 1e-9
+
+
+def edge_tiles(boxes: DataFrame, width: int, height: int, side: int) -> DataFrame:
+    """boxes (bounds) by the tiles of one side that the triangle may touch: tx, ty, full (every pixel of the tile within the picture lies inside).
+
+    An edge function is linear, so over a tile it lies between its values at the corners. A tile goes where one edge has all of it
+    outside. The test is conservative: what stays may still hold no pixel.
+    """
+    out = boxes
+    for t, low, high in (("tx", "xmin", "xmax"), ("ty", "ymin", "ymax")):
+        out = out.withColumn(t, F.explode(F.sequence((F.col(low) / side).cast("int"), (F.col(high) / side).cast("int"))))
+    return _judged(out, width, height, side)
+
+
+def _judged(cells: DataFrame, width: int, height: int, side: int) -> DataFrame:
+    left, top = F.col("tx") * side, F.col("ty") * side
+    right, below = F.least(left + side - 1, F.lit(width - 1)), F.least(top + side - 1, F.lit(height - 1))
+    xs, ys = [c / F.lit(float(width - 1)) for c in (left, right)], [F.lit(1.0) - c / F.lit(float(height - 1)) for c in (top, below)]
+    corners = [_edges(x, y) for x in xs for y in ys]
+    most, least = [F.greatest(*[c[k] for c in corners]) for k in range(3)], [F.least(*[c[k] for c in corners]) for k in range(3)]
+    may = _all([m >= -NEAR for m in most]) | _all([m <= NEAR for m in least])
+    full = _all([m > NEAR for m in least]) | _all([m < -NEAR for m in most])
+    return cells.filter(may).withColumn("full", full)
+
+
+def descended(tris: DataFrame, width: int, height: int, sides: Sequence[int] = SIDES) -> DataFrame:
+    """side, tx, ty, full and the triangle's columns: from coarse tiles to fine ones. A full tile isn't parted; of the others the last side remains."""
+    level = edge_tiles(bounds(tris, width, height), width, height, sides[0]).withColumn("side", F.lit(sides[0]))
+    for above, side in zip(sides, sides[1:], strict=False):
+        n = above // side
+        # Parts of a tile that the triangle's bounds don't reach aren't made.
+        part = lambda t, low, high: F.explode(F.sequence(F.greatest(F.col(t) * n, (F.col(low) / side).cast("int")), F.least(F.col(t) * n + n - 1, (F.col(high) / side).cast("int"))))  # noqa: B023, E731
+        finer = level.filter("not full").filter(F.col("side") == above)
+        finer = _judged(finer.withColumn("tx", part("tx", "xmin", "xmax")).withColumn("ty", part("ty", "ymin", "ymax")), width, height, side).withColumn("side", F.lit(side))
+        level = level.filter(F.col("full") | (F.col("side") != above)).union(finer.select(level.columns))
+    return level
+
+
+def coverage(tris: DataFrame, width: int, height: int, sides: Sequence[int] = SIDES) -> DataFrame:
     """px, py: pixels whose sample lies within a triangle, on its edges included, either way round.
 
-    Each triangle yields the pixels of its bounds only; no pixel meets a triangle elsewhere.
+    Full tiles are told apart before their pixels are made, so a large triangle costs its border and a tile under many triangles counts once; in
+    the tiles on the border each pixel is judged.
     """
-    boxes = bounds(tris, width, height)
-    cells = boxes.withColumn("px", F.explode(F.sequence("xmin", "xmax"))).withColumn("py", F.explode(F.sequence("ymin", "ymax")))
-    x, y = F.col("px") / F.lit(float(width - 1)), F.lit(1.0) - F.col("py") / F.lit(float(height - 1))
-    c = {k: F.col(k).cast("double") for k in ("x0", "y0", "x1", "y1", "x2", "y2")}
-    e = [_edge(c[f"x{i}"], c[f"y{i}"], c[f"x{j}"], c[f"y{j}"], x, y) for i, j in ((0, 1), (1, 2), (2, 0))]
-    inside = ((e[0] >= 0) & (e[1] >= 0) & (e[2] >= 0)) | ((e[0] <= 0) & (e[1] <= 0) & (e[2] <= 0))
-    return cells.filter(inside).select("px", "py").distinct()
+    cells = descended(tris, width, height, sides)
+    span = lambda t, end: F.explode(F.sequence(F.col(t) * F.col("side"), F.least(F.col(t) * F.col("side") + F.col("side") - 1, F.lit(end - 1))))
+    whole = cells.filter("full").select("side", "tx", "ty").distinct().withColumn("px", span("tx", width)).withColumn("py", span("ty", height)).select("px", "py")
+    within = lambda t, low, high: F.explode(F.sequence(F.greatest(F.col(t) * F.col("side"), F.col(low)), F.least(F.col(t) * F.col("side") + F.col("side") - 1, F.col(high))))
+    border = cells.filter("not full").filter("greatest(tx * side, xmin) <= least(tx * side + side - 1, xmax) and greatest(ty * side, ymin) <= least(ty * side + side - 1, ymax)")
+    border = border.withColumn("px", within("tx", "xmin", "xmax")).withColumn("py", within("ty", "ymin", "ymax"))
+    e = _edges(F.col("px") / F.lit(float(width - 1)), F.lit(1.0) - F.col("py") / F.lit(float(height - 1)))
+    inside = _all([x >= 0 for x in e]) | _all([x <= 0 for x in e])
+    return border.filter(inside).select("px", "py").union(whole).distinct()

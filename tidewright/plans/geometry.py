@@ -63,7 +63,13 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return spatial.coverage(_triangles(spark, d), WIDTH, HEIGHT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (block_dedup, dispatch_size, gather, triangle_bounds, tile_bins, tile_owners, queue_capacity, queue_slots, coverage)}
+def tile_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles sixteen times as wide under the edge test: tiles of the bounds that a triangle doesn't reach are gone, full ones are marked."""
+    wide = _triangles(spark, d).select("tri", "x0", "y0", *[(F.col(f"{a}0") + (F.col(f"{a}{k}") - F.col(f"{a}0")) * 16).alias(f"{a}{k}") for k in (1, 2) for a in "xy"])
+    return spatial.edge_tiles(spatial.bounds(wide, WIDTH, HEIGHT), WIDTH, HEIGHT, 8).select("tri", "tx", "ty", "full")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (block_dedup, dispatch_size, gather, triangle_bounds, tile_bins, tile_owners, queue_capacity, queue_slots, coverage, tile_edges)}
 
 _DEDUP = """
 i as (select o_orderkey as pos, o_custkey % 50 as vid, o_orderkey // 30 as block from orders),
@@ -77,7 +83,17 @@ c as (select tri, x0, y0, x1, y1, x2, y2, greatest(ceil((least(x0, x1, x2) - 1e-
 b as (select * from c where xmin <= xmax and ymin <= ymax),
 l as (select tri, tx::int as tx, ty::int as ty, (ty * 4 + tx)::int as tile from (select tri, unnest(range(xmin // 32, xmax // 32 + 1)) as tx, ymin, ymax from b) x, lateral (select unnest(range(x.ymin // 32, x.ymax // 32 + 1)) as ty))"""
 
+_WIDE = _TRI.replace("% 61 - 30) / 1024.0::double", "% 61 - 30) / 1024.0::double * 16")
+_CORNERS = ", ".join(f"(x{j} - x{i}) * ({y} - y{i}) - (y{j} - y{i}) * ({x} - x{i}) as e{i}{n}" for i, j in ((0, 1), (1, 2), (2, 0)) for n, (x, y) in enumerate([("xl", "yl"), ("xl", "yh"), ("xh", "yl"), ("xh", "yh")]))
+_MOST, _LEAST = ([f"{f}({', '.join(f'e{i}{n}' for n in range(4))})" for i in range(3)] for f in ("greatest", "least"))
+
 SQL: dict[str, str] = {
+    "tile_edges": f"""
+with {_WIDE}, m as (select tri, tx::int as tx, ty::int as ty, x0, y0, x1, y1, x2, y2, tx * 8 / 127.0::double as xl, least(tx * 8 + 7, 127) / 127.0::double as xh, 1 - ty * 8 / 127.0::double as yl, 1 - least(ty * 8 + 7, 127) / 127.0::double as yh
+  from (select b.*, unnest(range(xmin // 8, xmax // 8 + 1)) as tx from b) x, lateral (select unnest(range(x.ymin // 8, x.ymax // 8 + 1)) as ty)),
+e as (select tri, tx, ty, {_CORNERS} from m)
+select tri, tx, ty, ({" and ".join(f"{c} > 1e-9" for c in _LEAST)}) or ({" and ".join(f"{c} < -1e-9" for c in _MOST)}) as "full"
+from e where ({" and ".join(f"{c} >= -1e-9" for c in _MOST)}) or ({" and ".join(f"{c} <= 1e-9" for c in _LEAST)})""",
     "block_dedup": f"with {_DEDUP} select pos, i.vid, i.block, local::int as local, base + local as uid from i join f using (block, vid) join b using (block)",
     "dispatch_size": f'with {_DEDUP} select max(base + local) + 1 as "unique", ceil((max(base + local) + 1) / 32.0)::bigint as groups from f join b using (block)',
     "gather": """
