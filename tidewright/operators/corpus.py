@@ -20,6 +20,11 @@ def search_summary(docs: DataFrame, text: str, pattern: str, **options) -> DataF
     return counted.agg(F.count("*").alias("scanned"), F.count_if(F.col("n") > 0).alias("matched"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_hits"))
 
 
+def errors(docs: DataFrame, key: str = "path", error: str = "error") -> DataFrame:
+    """key, error of the documents that couldn't be read, by key."""
+    return docs.filter(F.col(error).isNotNull()).select(key, error).orderBy(key)
+
+
 def first_documents(docs: DataFrame, path: str, most: int) -> DataFrame:
     """The first documents by path. The reference order is that of a directory; a path order is the same on every run."""
     return docs.orderBy(path).limit(most)
