@@ -691,3 +691,41 @@ def test_sample_within_bytes_prefers_no_length(spark):
     huge = spark.createDataFrame([(1, "a" * (3 << 20)), (2, "b")], "doc_id bigint, text string")
     both = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
     assert sorted(len(r.text) for r in quality.labelled_sample(huge, both, "toxic", (5, 0), 10, 16 << 20).collect()) == [1, 1 << 20]
+
+
+def test_license_tags_are_expressions():
+    scan = licenses.Recogniser().scan
+    names = lambda text: [x[0] for x in scan(text)[2]]
+    assert names("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;") == ["MIT", "Apache-2.0"]
+    assert names("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n") == ["GPL-2.0-only WITH Classpath-exception-2.0"]
+    assert names("/* SPDX-License-Identifier: (LGPL-2.1+ AND mit) OR (GPL-2.0 WITH Linux-syscall-note AND LicenseRef-x) */ x") == ["LGPL-2.1-or-later", "MIT", "GPL-2.0-only WITH Linux-syscall-note"]
+    # One name as before; an exception that doesn't belong to the licence is left out, and so is what isn't known.
+    assert names("SPDX-License-Identifier: EUPL-1.2\nSPDX-License-Identifier: CDDL-1.0") == ["EUPL-1.2", "CDDL-1.0"]
+    assert names("SPDX-License-Identifier: GPL-2.0+") == ["GPL-2.0-or-later"] and names("SPDX-License-Identifier: MIT is what we chose") == []
+    assert names("SPDX-License-Identifier: MIT WITH LLVM-exception") == ["MIT"] and names("SPDX-License-Identifier: Nothing-1.0 OR Other") == [] and names("SPDX-License-Identifier") == []
+    text = "x SPDX-License-Identifier: y\n SPDX-License-Identifier: MS-PL OR ISC and so on"
+    assert [text[a:b] for _, a, b in scan(text)[2]] == ["MS-PL", "ISC"]
+
+
+def test_license_families():
+    names = lambda text: [x[0] for x in licenses.Recogniser().scan(text)[2]]
+    lesser = """This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+    assert names(lesser) == ["LGPL-2.1-or-later"]
+    assert names(lesser.replace("2.1", "3")) == ["LGPL-3.0-or-later"] and names(lesser.replace("2.1", "2").replace("Lesser", "Library")) == ["LGPL-2.0-or-later"]
+    assert names("Licensed under the Common Development and Distribution License, Version 1.0.") == ["CDDL-1.0"]
+    assert names("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.") == ["CC-BY-SA-3.0"]
+
+
+def test_warc_record_ids_differ(spark):
+    """However often a page's number occurs, and where it has none."""
+    rows = [(k, f"u{k}", "a" * 2000) for k in (1, 1, 2, 2, None, None)] + [(3, "a%\nb", "short")] * 2
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), roll=300)
+    heads = [m.partition(b"\r\n\r\n")[0].decode() for r in archives.collect() for m in warc.members(bytes(r.content))]
+    fields = [dict(line.split(": ", 1) for line in h.split("\r\n")[1:]) for h in heads]
+    assert len({f["WARC-Record-ID"] for f in fields}) == len(rows) == len(fields)
+    again = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(again) == 2 and all(f["Page-ID"] == "1" and f["Refers-To-Page-ID"] == "2" and f["WARC-Refers-To-Target-URI"] == "u2" for f in again)
+    assert warc.resolved(warc.read_archives(archives)).count() == 8

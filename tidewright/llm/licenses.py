@@ -115,8 +115,19 @@ RULES = [
 NAMED = {
     "MIT": "MIT License", "MIT-0": "", "Apache-2.0": "Apache License, Version 2.0", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-4-Clause": "", "0BSD": "", "ISC": "ISC License", "Zlib": "zlib License",
     "BSL-1.0": "Boost Software License, Version 1.0", "MPL-2.0": "Mozilla Public License, v. 2.0", "EPL-2.0": "Eclipse Public License 2.0", "Unlicense": "Unlicense", "WTFPL": "", "OFL-1.1": "SIL Open Font License, Version 1.1", "CC0-1.0": "", "PostgreSQL": "PostgreSQL License", "NCSA": "", "Artistic-2.0": "Artistic License 2.0",
+    "EUPL-1.1": "European Union Public Licence v. 1.1", "EUPL-1.2": "European Union Public Licence v. 1.2", "CDDL-1.0": "Common Development and Distribution License, Version 1.0", "CDDL-1.1": "Common Development and Distribution License, Version 1.1",
+    "MS-PL": "Microsoft Public License", "MS-RL": "Microsoft Reciprocal License", "AFL-3.0": "Academic Free License version 3.0", "OSL-3.0": "Open Software License version 3.0", "EPL-1.0": "Eclipse Public License v1.0", "MPL-1.1": "Mozilla Public License Version 1.1",
+    "Artistic-1.0": "Artistic License 1.0", "Apache-1.1": "Apache License, Version 1.1", "CPL-1.0": "Common Public License Version 1.0", "BlueOak-1.0.0": "Blue Oak Model License 1.0.0", "PSF-2.0": "", "Python-2.0": "", "X11": "", "CC-PDDC": "",
 }
 
+# Public short names of exceptions, and of the licences that they are given with.
+EXCEPTIONS = {
+    "Classpath-exception-2.0": ("GPL",), "Autoconf-exception-3.0": ("GPL",), "Bison-exception-2.2": ("GPL",), "Font-exception-2.0": ("GPL",), "GCC-exception-2.0": ("GPL",), "GCC-exception-3.1": ("GPL",), "Linux-syscall-note": ("GPL", "LGPL"),
+    "OpenSSL-exception": ("GPL", "LGPL"), "LLVM-exception": ("Apache",),
+}
+#: What a tag begins with, and its expression: names, brackets and AND, OR, WITH up to the end of the line.
+TAG, _EXPRESSION = "SPDX-License-Identifier:", re.compile(r"[ \t]*((?:[A-Za-z0-9.+:-]+|[ \t()])+)")
+
 
 def families() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
     """Sentences and rules that follow a pattern: tags, plain notices, the GNU licences and those of Creative Commons."""
@@ -134,22 +145,36 @@ def families() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
         add(name, f"SPDX-License-Identifier: {name}")
         if words:
             noticed(name, words)
-    for short, long, versions in (("GPL", "GNU General Public License", "23"), ("LGPL", "GNU Lesser General Public License", "3"), ("AGPL", "GNU Affero General Public License", "3")):
+    gnu = (
+        ("GPL", "GNU General Public License", "123"), ("LGPL", "GNU Library General Public License", "2"), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")),
+        ("AGPL", "GNU Affero General Public License", "3"),
+    )
+    for short, long, versions in gnu:
         for v in versions:
-            add(f"{short}-{v}.0-only", f"SPDX-License-Identifier: {short}-{v}.0-only", f"SPDX-License-Identifier: {short}-{v}.0")
-            add(f"{short}-{v}.0-or-later", f"SPDX-License-Identifier: {short}-{v}.0-or-later", f"SPDX-License-Identifier: {short}-{v}.0+")
-            noticed(f"{short}-{v}.0-only", f"{long}, version {v}")
-            noticed(f"{short}-{v}.0-only", f"{long} v{v}.0")
+            full = v if "." in v else f"{v}.0"
+            add(f"{short}-{full}-only", f"SPDX-License-Identifier: {short}-{full}-only", f"SPDX-License-Identifier: {short}-{full}")
+            add(f"{short}-{full}-or-later", f"SPDX-License-Identifier: {short}-{full}-or-later")
+            noticed(f"{short}-{full}-only", f"{long}, version {v}")
+            noticed(f"{short}-{full}-only", f"{long} v{full}")
             given = f"This <> is free software; you can redistribute it and/or modify it under the terms of the {long} as published by the Free Software Foundation, "
             see = f"See the {long} for more details."
             known[see] = see
-            for name, which in ((f"{short}-{v}.0-or-later", f"either version {v} of the License, or (at your option) any later version."), (f"{short}-{v}.0-only", f"version {v} of the License."), (f"{short}-{v}.0-only", f"version {v}.")):
+            for name, which in ((f"{short}-{full}-or-later", f"either version {v} of the License, or (at your option) any later version."), (f"{short}-{full}-only", f"version {v} of the License."), (f"{short}-{full}-only", f"version {v}.")):
                 known[f"{name}: {given + which}"] = given + which
                 rules.extend((name, [f"{name}: {given + which}", *more]) for more in (["gpl-hope", see], []))
     parts = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
     for short, long in parts:
         name = f"CC-{short}-4.0"
         add(name, f"SPDX-License-Identifier: {name}", f"Licensed under CC {short} 4.0.", f"This <> is licensed under CC {short} 4.0.", f"This <> is licensed under a Creative Commons {long} 4.0 International License.", f"Creative Commons {long} 4.0 International Public License")
+        for v in ("2.0", "3.0"):
+            name = f"CC-{short}-{v}"
+            add(name, f"SPDX-License-Identifier: {name}", f"Licensed under CC {short} {v}.", f"This <> is licensed under CC {short} {v}.", f"This <> is licensed under a Creative Commons {long} {v} Unported License.", f"Creative Commons {long} {v} Unported")
+    # A name in a tag, followed by an exception that it is given with.
+    for exception, shorts in EXCEPTIONS.items():
+        known[f"with: {exception}"] = f"SPDX-License-Exception {exception}"
+        for name, ids in list(rules):
+            if ids[0].startswith(f"{name}: {TAG}") and name.startswith(tuple(f"{x}-" for x in shorts)) and len(ids) == 1:
+                rules.append((f"{name} WITH {exception}", [*ids, f"with: {exception}"]))
     return known, rules
 
 
@@ -191,6 +216,9 @@ class Recogniser:
                 self.known.setdefault((parts[0][0], parts[0][1] if len(parts[0]) > 1 else None), []).append((-sum(map(len, parts)), name, [p for p in parts if p]))
         for found in self.known.values():
             found.sort()
+        # Names that a tag may give, and exceptions.
+        self.named = {text.removeprefix(TAG).strip().lower(): same[name] for name, text in known.items() if text.startswith(TAG)}
+        self.excepted = {name.removeprefix("with: ").lower(): name for name in known if name.startswith("with: ")}
         self.rules: dict[str, list[tuple[int, int, str, list[str]]]] = {}
         for rank, (name, sequence) in enumerate(rules):
             ids = [same[s] for s in sequence]
@@ -232,6 +260,9 @@ class Recogniser:
         while at < len(words):
             if opens[at]:
                 first = words[at]
+                if first == "spdx" and (last := self._tag(text, words, found, at, ends, out)) is not None:
+                    at = last + 1
+                    continue
                 for pair in ((first, words[at + 1] if at + 1 < len(words) else None), (first, None)):
                     for _, name, parts in self.known.get(pair, ()):
                         end = self._fits(words, at, parts, closes)
@@ -248,6 +279,38 @@ class Recogniser:
             at += 1
         return len(ends), out
 
+    def _tag(self, text: str, words: list[str], found: list[re.Match], at: int, ends: list[int], out: list) -> int | None:
+        """The known names of a tag's expression, in their order, added to out; gives the last word that belongs to it, None where the tag has one plain name.
+
+        Brackets and AND and OR say how a user may choose, not which licences there are; a known exception follows the name that it belongs to; a plus
+        stands for later versions. The expression ends before the first word that can't go on with it.
+        """
+        if words[at : at + 3] != ["spdx", "license", "identifier"] or not text.startswith(":", found[at + 2].end()):
+            return None
+        after = _EXPRESSION.match(text, found[at + 2].end() + 1)
+        names, operator = [], ""
+        for m in re.finditer(r"[^ \t()]+", after[1]) if after else ():
+            if (len(names) > 0) != bool(operator):
+                if m[0] not in ("AND", "OR", "WITH", "and", "or", "with"):
+                    break
+                operator = m[0].lower()
+            else:
+                names.append((operator, m))
+                operator = ""
+        if len(names) < 2 and not (names and names[0][1][0].endswith("+")):
+            return None
+        for operator, m in names:
+            name = m[0].lower()
+            name = f"{name[:-1]}-or-later" if name.endswith("+") else name
+            ident = self.excepted.get(name) if operator == "with" else self.named.get(name)
+            begin, end = after.start(1) + m.start(), after.start(1) + m.end()
+            if ident:
+                number = bisect_right(ends, begin)
+                out.append((number, ident, begin, end, number))
+        while at + 1 < len(words) and found[at + 1].end() <= end:
+            at += 1
+        return at
+
     def scan(self, text: str | None) -> tuple[int, int, list[tuple[str, int, int]]]:
         """Sentences, known ones, and licences with their places."""
         n, found = self.identify(text)

@@ -10,6 +10,9 @@ writes can hold them; save_archives() puts them as files into a mounted folder,
 
 A payload has to fit in memory, as it does in its row. An empty table gives no archives. A null payload is empty. Rows that repeat a page_id are records of their own, all responses where it is the largest of their
 payload; a null page_id is written as "null", read back as null, and always a response. Other columns are ignored.
+
+A record's id names the page and its place, the writing task and its number there, so no two records share one however often a page_id occurs. The page's own
+number stands in a header of its own, and a revisit tells the number and the URL of the page that it refers to.
 """
 
 from __future__ import annotations
@@ -46,17 +49,21 @@ class WarcError(ValueError):
     """An archive that breaks the format or a digest."""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
-    """One record as a gzip member. A header's value can't hold line ends; those of a URL are escaped."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None, place: str = "0") -> bytes:
+    """One record as a gzip member; place is unique among all records. A header's value can't hold line ends; those of a URL are escaped."""
     content = payload if refers_to is None else b""
+    escaped = lambda u: u.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    number = lambda n: "null" if n is None else str(n)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{number(page_id)}:{place}>"),
+        ("Page-ID", number(page_id)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        *([] if url is None else [("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))]),
+        *([] if url is None else [("WARC-Target-URI", escaped(url))]),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Payload-Length", str(len(payload))),
-        *([] if refers_to is None else [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)]),
+        *([] if refers_to is None else [("Refers-To-Page-ID", number(refers_to)), ("WARC-Profile", PROFILE)]),
+        *([] if refers_to is None or refers_url is None else [("WARC-Refers-To-Target-URI", escaped(refers_url))]),
         ("Content-Type", "text/html; charset=utf-8"),
         ("Content-Length", str(len(content))),
     ]
@@ -83,10 +90,9 @@ def members(data: bytes | BinaryIO, step: int = 1 << 16) -> Iterator[bytes]:
 
 
 def _number(value: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+|null)>", value or "")
-    if not found:
-        raise WarcError(f"not a record id: {value}")
-    return None if found[1] == "null" else int(found[1])
+    if not re.fullmatch(r"-?\d+|null", value or ""):
+        raise WarcError(f"not a page's number: {value}")
+    return None if value == "null" else int(value)
 
 
 def parse(member: bytes) -> dict:
@@ -107,10 +113,12 @@ def parse(member: bytes) -> dict:
     content, digest, kind = rest[:size], fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
     if kind == "response" and (hashlib.sha1(content).hexdigest() != digest or str(size) != fields["warc-payload-length"]):
         raise WarcError("the content doesn't match its digest")
+    if not re.fullmatch(rf"<urn:page:{re.escape(fields.get('page-id', ''))}:\S+>", fields.get("warc-record-id", "")):
+        raise WarcError("a record id that isn't the page's")
     url = fields.get("warc-target-uri")
     return {
-        "page_id": _number(fields["warc-record-id"]), "payload_bytes": int(fields["warc-payload-length"]), "payload_digest": digest, "record_type": kind,
-        "refers_to": _number(fields["warc-refers-to"]) if kind == "revisit" else None, "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "content": content,
+        "page_id": _number(fields.get("page-id")), "payload_bytes": int(fields["warc-payload-length"]), "payload_digest": digest, "record_type": kind,
+        "refers_to": _number(fields.get("refers-to-page-id")) if kind == "revisit" else None, "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "content": content,
     }
 
 
@@ -123,10 +131,11 @@ def planned(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     own = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("digest"))
     large = F.octet_length("payload") >= least
-    last = own.filter(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
-    last = materialise(last.filter("first < last").select(F.col("digest").alias("twice"), "last"), "warc-last")
+    last = own.filter(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(F.struct("page_id", F.col("url").alias("last_url"))).alias("last"), F.min("page_id").alias("first"))
+    last = last.filter("first < last.page_id").select(F.col("digest").alias("twice"), F.col("last.page_id").alias("last"), "last.last_url")
+    last = materialise(last, "warc-last")
     refers = F.when(large & (F.col("page_id") < F.col("last")), F.col("last"))
-    return own.join(last, own.digest == last.twice, "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return own.join(last, own.digest == last.twice, "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"), "last_url")
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
@@ -136,7 +145,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, roll: int = ROLL_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, place, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"archive": f"pages-{part:05d}-{number:05d}.warc.gz", "content": b"".join(held)}], pa.schema([("archive", pa.string()), ("content", pa.binary())]))
@@ -144,7 +153,8 @@ def write_archives(pages: DataFrame, least: int = LEAST_BYTES, roll: int = ROLL_
         for batch in batches:
             for piece in _slices(batch, 256):
                 for row in piece.to_pylist():
-                    held.append(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"]))
+                    held.append(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["last_url"], f"{part}:{place}"))
+                    place += 1
                     size += len(held[-1])
                     if size >= roll:
                         yield closed()
