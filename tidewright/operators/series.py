@@ -156,9 +156,12 @@ def expression(text: str, columns: list[str]) -> Column:
     return out
 
 
-def counters(wide: DataFrame, defined: list[dict], select: list[str] = (), deselect: list[str] = ()) -> DataFrame:
+def counters(wide: DataFrame, defined: list[dict], select: list[str] = (), deselect: list[str] = (), view: str = "default", keep: list[str] = ()) -> DataFrame:
     """Wide rows with the defined counters, in their order; a later one may use an earlier one.
 
+    Patterns choose among the raw columns; defined ones stay. view: default has the raw ones first, defined_first the others, and defined_only has raw ones
+    only where a pattern asks for them. Columns to keep come before both.
+
     A definition has a target and one of alias, regex with op, or expr. One that refers to a counter defined later is an error, and so
     is an alias without its source; all errors are told at once. A regex that fits nothing drops the counter.
     """
@@ -182,7 +185,9 @@ def counters(wide: DataFrame, defined: list[dict], select: list[str] = (), desel
             known.append(d["target"])
     if errors:
         raise ValueError("; ".join(errors))
-    names = choose([*raw, *[c for c in known if c not in raw]], list(select), list(deselect))
+    made = list(dict.fromkeys(d["target"] for d in defined if d["target"] in known))
+    rest = choose([c for c in raw if c not in made and c not in keep], list(select), list(deselect), none_if_empty=view == "defined_only")
+    names = [*keep, *(rest + made if view == "default" else made + rest)]
     return wide.select(*[F.col(f"`{c}`") for c in names])
 
 
