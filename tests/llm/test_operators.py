@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -729,3 +730,14 @@ def test_warc_record_ids_differ(spark):
     again = [f for f in fields if f["WARC-Type"] == "revisit"]
     assert len(again) == 2 and all(f["Page-ID"] == "1" and f["Refers-To-Page-ID"] == "2" and f["WARC-Refers-To-Target-URI"] == "u2" for f in again)
     assert warc.resolved(warc.read_archives(archives)).count() == 8
+
+
+def test_toxicity_network_is_not_fitted_by_the_driver(spark, monkeypatch):
+    def marked(texts, y, share):
+        net = toxicity.Network()
+        net.shift = float(os.getpid())
+        return net
+
+    monkeypatch.setattr(toxicity, "fit", marked)
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.train(docs, labels).shift != os.getpid()

@@ -15,11 +15,13 @@ table gives no rows. A score at the threshold is toxic. Ties in the sample's ord
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -394,9 +396,18 @@ def scores(net: Network, texts: list[str | None]) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic", size: int = SAMPLE_BYTES) -> Network:
-    got = sorted((r.doc_id, r.label, r.text or "") for r in labelled_sample(documents, labels, label, HELD_OUT, rows, size).collect())
+    """The network is fitted where the bounded sample is one task's rows, so neither its texts nor the arrays of training are held by the driver, which gets the parameters."""
+    sample = labelled_sample(documents, labels, label, HELD_OUT, rows, size)
     share = labels.filter(F.col(label).isin(0, 1) & ~held_out("doc_id", HELD_OUT)).agg(F.avg(label)).first()[0]
-    return fit([t for _, _, t in got], np.array([y for _, y, _ in got], np.int64), share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, y, t or "") for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        net = fit([t for _, _, t in got], np.array([y for _, y, _ in got], np.int64), share)
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    # Spark may leave the task out where it sees that the sample is empty.
+    nets = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(nets[0].net) if nets else fit([], np.zeros(0, np.int64), share)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
