@@ -84,3 +84,24 @@ def test_errors(spark):
     assert {p.name for p in pt.table_of(rows)} == {"a", "b"}
     with pytest.raises(ValueError, match="more than"):
         pt.table_of(rows.withColumn("expression", F.repeat("expression", F.lit(pt.MOST))))
+
+
+@pytest.mark.parametrize(("most", "shapes"), [(1, pt.SHAPES), (1, 3), (500, pt.SHAPES), (pt.MOST, pt.SHAPES)])
+def test_tables_of_any_size(spark, monkeypatch, most, shapes):
+    """Joined with the literals, by forms of any width, with loose patterns broadcast or crossed, as by one automaton."""
+    monkeypatch.setattr(pt, "SHAPES", shapes)
+    table = [*MANY[:100], pt.Pattern("any", "digits", r"\d+", whole=False), pt.Pattern("any", "end", "x y$", whole=False), pt.Pattern("event", "all", ".*z.*", 3), pt.Pattern("wide", "é", "über (.)", whole=False)]
+    lines = [f"{k} ns a code{k % 130:04}x w{k} code{(k + 1) % 130:04}x v" for k in range(150)] + ["", None, "x y", "ab", "ns über ß", "z", "z", "12 ns code0001x"]
+    rows = spark.createDataFrame([(p.kind, p.name, p.expression, p.rank, p.whole) for p in table], "kind string, name string, expression string, rank int, whole boolean")
+    got = pt.scan_table(spark.createDataFrame(list(enumerate(lines)), "id int, line string"), rows, ("event",), most=most)
+    assert got.columns == ["id", "line", "found"]
+    assert [[(f.kind, f.name, f.groups) for f in r.found] for r in got.orderBy("id").collect()] == plain(lines, table, ("event",))
+
+
+def test_pattern_finds_with_more_patterns_than_are_broadcast(spark, monkeypatch):
+    from tidewright.plans import merging
+
+    rows = lambda: sorted(merging.pattern_finds(spark, "/root/testdata/sf0.001").collect())
+    want = rows()
+    monkeypatch.setattr(pt, "MOST", 1000)
+    assert rows() == want
